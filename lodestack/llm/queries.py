@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, sharding
+from . import decontamination, exact_dedup, jaccard_join, mixing, sharding, tokens
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_token_output": tokens.op6_token_output,
     "op8_sharding": sharding.op8_sharding,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLES = {
     "op1_decontamination": decontamination.SQL,
     "op3_mixing": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_sharding": sharding.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
 }
