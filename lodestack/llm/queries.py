@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, mixing, sharding, tokens
+from . import decontamination, exact_dedup, jaccard_join, language_id, mixing, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_token_output": tokens.op6_token_output,
+    "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_decontamination": decontamination.SQL,
