@@ -1,13 +1,80 @@
-"""A corpus pipeline of four to five stages, each one of the training-data operators."""
+"""A corpus pipeline: toxic documents go, one of each group of near copies stays, benchmark leaks go,
+sources are mixed to their target weights, and the mix is written as token ids.
+
+Every stage but the last returns the columns of its input. Rows without a doc_id are kept, since no
+decision can be addressed to them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestack.llm import decontamination, jaccard_join, mixing, tokens, toxicity
+from lodestack.llm.storage import written
+
+BROADCAST_ROWS = 2_000_000
+
+
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of ids, written; broadcast up to `BROADCAST_ROWS` rows, and joined by a shuffle beyond."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    return docs.join(_small(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, toxicity.toxicity(docs, labels).where("predicted = 1"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five-word shingles, similarity 0.8 or more; the document with the smallest id of a group stays.
+
+    Where rows repeat a doc_id, one of the rows that stay with it is kept.
+    """
+    found = written(jaccard_join.jaccard_join(docs, words=5, percent=80), "near-copies")
+    kept = _without(docs, found.where("doc_id <> component_id"))
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(_small(repeated.select("doc_id"), "repeated"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return _without(kept, repeated).unionByName(again)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of a document as the mix takes copies of it; a copy that is cut at the budget counts from a half on."""
+    report = mixing.mix_report(docs).where("size > 0")
+    copies = report.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
+    return docs.join(_small(copies, "copies"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the token files."""
+    return tokens.tokenize(docs, tokens.public_tokenizer())
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("token_output", write_ids),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each over all that the one before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, jaccard_join, language_id, mixing, sharding, tokens, toxicity
+from . import decontamination, exact_dedup, jaccard_join, language_id, masked_lm, mixing, sharding, tokens, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
+    "op2_warc_fixity": warc.op2_warc_fixity,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_masked_lm": masked_lm.op5_masked_lm,
     "op6_token_output": tokens.op6_token_output,
     "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_decontamination": decontamination.SQL,
+    "op2_warc_fixity": warc.SQL,
     "op3_mixing": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_sharding": sharding.SQL,
