@@ -300,11 +300,11 @@ def stale_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.stale(rows, 90, F.lit("1998-08-02").cast("date")).select("o_orderkey")
 
 
-@query("stale_docstring_names", """WITH w AS (SELECT source, lang, list_distinct(list(turn_name)) AS names FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), '\\b[a-z]{2}\\b')) AS turn_name FROM documents) GROUP BY ALL)
+@query("stale_docstring_names", """WITH w AS (SELECT source, lang, list_distinct(list(turn_name)) AS names FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), ' ([a-z]{2}) ', 1)) AS turn_name FROM documents) GROUP BY ALL)
 SELECT a.source, array_to_string(list_sort(list_filter(a.names, lambda x: NOT list_contains(b.names, x))), ',') AS stale, array_to_string(list_sort(list_filter(b.names, lambda x: NOT list_contains(a.names, x))), ',') AS missing
 FROM w a JOIN w b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'fr'""")
 def stale_docstring_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{2}\b"), F.lit(0))).alias("name"))
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(" ([a-z]{2}) "), F.lit(1))).alias("name"))
     names = rows.groupBy("source", "lang").agg(F.collect_set("name").alias("names"))  # two-letter names: at most 676 in a set
     a, b = names.where("lang = 'en'").select("source", F.col("names").alias("a")), names.where("lang = 'fr'").select("source", F.col("names").alias("b"))
     return a.join(b, "source").select("source", F.array_join(F.sort_array(F.array_except("a", "b")), ",").alias("stale"), F.array_join(F.sort_array(F.array_except("b", "a")), ",").alias("missing"))
