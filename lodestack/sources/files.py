@@ -13,10 +13,10 @@ IS_TEST = r"(^|/)test_[^/]*$|_test\.py$|(^|/)tests/"
 
 
 def read_tree(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
-    """files of a directory tree by a file-name pattern, with paths relative to the root; `__pycache__` is left out."""
+    """files of a directory tree by a file-name pattern, with paths relative to the root; `__pycache__` and empty files are left out."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root).where(~F.col("path").contains("/__pycache__/"))
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    path = F.regexp_replace(F.col("path"), f"^.*?{base}/".replace(".", r"\."), "")
+    path = F.substring_index("path", f"{base}/", -1)
     return of_columns(raw.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")))
 
 
