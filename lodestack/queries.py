@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import config, text
-from .operators import comments, duplicates, graph, metrics, rules, transactions
+from .operators import analysis, comments, duplicates, edits, graph, metrics, packaging, patching, rules, transactions
+from .operators.facts import Facts
 from .operators.findings import Findings
 from .operators.rules import Rule
+from .schemas import union
 from .sources.files import of_columns, read_documents
+from .streaming import arrivals
 
 # The scans that the driver's invented texts have matches for.
 SCANS = [
@@ -308,3 +311,73 @@ def stale_docstring_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = rows.groupBy("source", "lang").agg(F.collect_set("name").alias("names"))  # two-letter names: at most 676 in a set
     a, b = names.where("lang = 'en'").select("source", F.col("names").alias("a")), names.where("lang = 'fr'").select("source", F.col("names").alias("b"))
     return a.join(b, "source").select("source", F.array_join(F.sort_array(F.array_except("a", "b")), ",").alias("stale"), F.array_join(F.sort_array(F.array_except("b", "a")), ",").alias("missing"))
+
+
+@query("windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrivals.windowed_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("normal_names", "SELECT lower(regexp_replace(p_name, '[-_.]+', '-', 'g')) AS name, count(*) AS n FROM part GROUP BY 1")
+def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy(packaging.normal_name("p_name").alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("bump_versions", "SELECT o_orderkey, (o_orderkey % 7) || '.' || (o_custkey % 5 + 1) || '.0' AS version FROM orders")
+def bump_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.concat_ws(".", (F.col("o_orderkey") % 7).cast("string"), (F.col("o_custkey") % 5).cast("string"), F.lit("9-rc1"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", packaging.bump_version(own, "minor").alias("version"))
+
+
+SAMPLE = {
+    "pkg/a.py": 'import os\nimport json\n\nclass Store:\n    """Keeps."""\n    def get(self, key, default=None):\n        if key and key in self.rows or default:\n            return self.rows[key]\n        return default\n\ndef main():\n    out = []\n    for k in range(3):\n        out.append(json.dumps(k))\n    return out\n',
+    "pkg/b.py": "from .a import Store\n\ndef unused(x: int) -> int:\n    # TODO(ann): check #4\n    try:\n        return x\n    except:\n        pass\n",
+}
+PATCH = "--- a/pkg/b.py\n+++ b/pkg/b.py\n@@ -3,2 +3,2 @@\n-def unused(x: int) -> int:\n+def used(x: int) -> int:\n     # TODO(ann): check #4\n"
+
+
+def _sample(spark: SparkSession) -> DataFrame:
+    return of_columns(spark.createDataFrame(list(SAMPLE.items()), "path string, content string"))
+
+
+@query("ast_defs", None)
+def ast_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Facts(_sample(spark)).defs.select("path", "kind", "full_name", "start_line", "end_line", "cyclomatic", "nesting", "n_params", "docstring")
+
+
+@query("ast_findings", None)
+def ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = Facts(_sample(spark))
+    return union(analysis.complexity_issues(facts), analysis.dead_code(facts), analysis.pattern_issues(facts), analysis.unused_imports(facts), analysis.repetition_issues(facts), analysis.loop_issues(facts)).drop("context")
+
+
+@query("ast_import_edges", None)
+def ast_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.import_edges(Facts(_sample(spark)))
+
+
+@query("todo_comments", None)
+def todo_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comments.todos(_sample(spark))
+
+
+@query("patch_changes", None)
+def patch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patching.changes(patching.parse(spark.createDataFrame([("p", PATCH)], "patch_id string, text string")))
+
+
+@query("patch_apply", None)
+def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patching.apply(_sample(spark), patching.parse(spark.createDataFrame([("p", PATCH)], "patch_id string, text string")), strict=True)
+
+
+@query("edit_rename_class", None)
+def edit_rename_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edit(_sample(spark), edits.rename_class, "Store", "Depot")
+
+
+@query("unified_diff", None)
+def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diff of every document that the redaction of addresses changes."""
+    files = read_documents(spark, sf_dir)
+    return transactions.preview(transactions.edits_of(files.where(F.col("content").rlike(IP)), text.replace_pattern("content", IP, "0.0.0.0"), "redact"))
