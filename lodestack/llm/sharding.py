@@ -79,10 +79,10 @@ WITH RECURSIVE s AS (SELECT i AS s, format('shard-{{:02d}}', i) AS shard FROM ra
 p AS (SELECT list((('0x' || substr(md5(shard || '/offset'), 1, 15))::BIGINT % {SLOTS})::INT ORDER BY s) AS o,
   list((('0x' || substr(md5(shard || '/skip'), 1, 15))::BIGINT % {SLOTS - 1} + 1)::INT ORDER BY s) AS k FROM s),
 turns(t, used, slot, shard) AS (
-  SELECT 0, []::INT[], NULL::INT, NULL::INT
+  SELECT 0, list_transform(range({SLOTS}), lambda x: false), NULL::INT, NULL::INT
   UNION ALL
-  SELECT t + 1, list_append(used, c), c, t % {SHARDS} FROM (
-    SELECT t, used, list_filter([((o[t % {SHARDS} + 1] + j * k[t % {SHARDS} + 1]) % {SLOTS})::INT FOR j IN range({SLOTS})], lambda x: NOT list_contains(used, x))[1] AS c
+  SELECT t + 1, used[:c] || [true] || used[c + 2:], c, t % {SHARDS} FROM (
+    SELECT t, used, list_filter([((o[t % {SHARDS} + 1] + j * k[t % {SHARDS} + 1]) % {SLOTS})::INT FOR j IN range({SLOTS})], lambda x: NOT used[x + 1])[1] AS c
     FROM turns, p WHERE t < {SLOTS}))
 SELECT doc_id, slot, s.shard FROM (SELECT doc_id, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS})::INT AS slot FROM documents)
 JOIN turns USING (slot) JOIN s ON turns.shard = s.s
