@@ -13,14 +13,16 @@ few elements that aren't heavy (one of a large group of near copies, or little b
 is dense. Pairs with a dense node are found through tiles in plain hash order. Either order is the
 same for both nodes of a pair, so no link is lost.
 
-Pairs. Two rounds of leaders come first: each node of a tile's band meets one leader, which joins a
-large group of near copies with as many pairs as it has nodes. What is then still apart in a tile is
-compared in full, by bitmaps: an element's bit that only one of two sets has is an element that only
-it has, so bit counts bound the overlap from above. The pairs that pass are verified exactly.
-
-Scale: elements are shuffled once, as numbers, and those that are already heavy within a task
-send one row to their partition, the rest elsewhere; texts never are. Tiles beyond `BLOCK` rows are compared
-as pairs of blocks, each a task's work of its own. Nothing is collected, and nothing is capped.
+Pairs. Rounds of leaders come first: each tile's band elects one node by hash, and each node meets
+the least leader of its tiles, which joins a large group of near copies with as many pairs as it has
+nodes. What is then still apart in a tile is compared in full. All pairs are tested by bitmaps first:
+a bit that only one of two sets has is an element that only it has, so bit counts bound the overlap
+from above. The few that pass are verified exactly, by intersecting their sorted elements.
+
+Scale: elements are shuffled once, packed as 12 bytes each, and of those that are already heavy
+within a task one row goes to their range, the others elsewhere. Texts never are shuffled: sets are
+kept for no text, and made again for the texts of pairs to be verified. Tiles of common elements are
+split by size band, and tiles beyond `BLOCK` rows are compared as pairs of blocks, each a task's work of its own. Nothing is collected or capped.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ from .components import components
 from .storage import written
 from .words import WHITE, hashed, mix
 
-WORDS, PERCENT, HEAVY, BLOCK, BROADCAST_ROWS = 4, 85, 64, 1024, 2_000_000
+WORDS, PERCENT, HEAVY, BLOCK, LEADERS, BROADCAST_ROWS = 4, 85, 64, 4096, 4, 2_000_000
+TILE = ["element", "plain", "cell"]
 FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
 
@@ -68,7 +71,7 @@ def first_elements(n: int, percent: int = PERCENT) -> int:
 
 def _offered(n: int, percent: int) -> int:
     p = first_elements(n, percent)
-    return min(n, p + max(32, p // 2))
+    return min(n, p + max(16, p // 4))
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
@@ -92,81 +95,144 @@ def least_overlap(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _features(words: int, percent: int):
+def _digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def _parts(batch: pa.RecordBatch, words: int, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[bytes]]]:
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        sets = list(shingle_sets(part["text"], words))
+        yield part, sets, [_digest(x) for x in sets]
+
+
+def _node(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+
+
+def _features(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, sets, digests in _parts(b, words):
+                bits = [bitmap(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+                yield pa.record_batch({"key": part["key"], "n": pa.array(list(map(len, sets)), pa.int32()), "node": pa.array(_node(digests)), "digest": pa.array(digests, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                n, digest, firsts, bits = [], [], [], []
-                for s in shingle_sets(part["text"], words):
-                    n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    firsts.append(s[: _offered(len(s), percent)].view(np.int64))
-                    bits.append(bitmap(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                yield pa.record_batch({"key": part["key"], "n": pa.array(n, pa.int32()), "digest": pa.array(digest, pa.binary()), "firsts": pa.array(firsts, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
+            for part, sets, digests in _parts(b, words, 200):
+                yield pa.record_batch({"key": part["key"], "node": pa.array(_node(digests)), "elements": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
     return run
 
 
-def _elements(batches: Iterator[pa.RecordBatch], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Rows (element, node, at) with at = n * 2^32 + position; of an element with more than HEAVY nodes here, all rows but one are `known`.
+def _pack(element: np.ndarray, own: np.ndarray, position: np.ndarray, heavy: np.ndarray, nodes: np.ndarray, n: np.ndarray) -> bytes:
+    """Rows as columns of bytes, 12 a row: elements, the numbers of their nodes in a list of those met, positions."""
+    used, own = np.unique(own, return_inverse=True)
+    wide = np.uint16 if max(len(used), int(position.max(initial=0))) < 1 << 16 else np.uint32
+    head = np.array([len(element), len(used), np.dtype(wide).itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, nodes[used], n[used], element, own.astype(wide), position.astype(wide), np.packbits(heavy)))
 
-    Those need not meet the element's other rows, since that one row tells there that it is heavy.
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(element, node, at, heavy), where at = n * 2^32 + position."""
+    rows, used, size = (int(x) for x in np.frombuffer(data, np.int64, 3))
+    wide, at, out = np.dtype(f"u{size}"), 24, []
+    for kind, k in ((np.int64, used), (np.int64, used), (np.uint64, rows), (wide, rows), (wide, rows), (np.uint8, -(-rows // 8))):
+        out.append(np.frombuffer(data, kind, k, at))
+        at += out[-1].nbytes
+    nodes, n, element, own, position, heavy = out
+    return element, nodes[own], (n[own] << 32) | position.astype(np.int64), np.unpackbits(heavy, count=rows).astype(bool)
+
+
+def _elements(words: int, percent: int, parts: int, flush: int = 2_000_000):
+    """Rows (to, data): the first elements of all texts, packed for each of `parts` ranges of elements.
+
+    Equal sets of a task are one node from here on. Of an element that more than HEAVY nodes of the
+    task have, one row goes to its range and says that it is heavy; the others are spread by node.
     """
-    held: list[tuple[np.ndarray, ...]] = []
-    rows = 0
-
-    def out():
-        element, node, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(element, kind="stable")
-        element, node, at = element[order], node[order], at[order]
-        starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-        counts = np.diff(np.concatenate((starts, [len(element)])))
-        rank = np.arange(len(element)) - np.repeat(starts, counts)
-        heavy = np.repeat(counts > HEAVY, counts)
-        known = heavy & (rank > 0)
-        for lo in range(0, len(element), 100_000):
-            s = slice(lo, lo + 100_000)
-            yield pa.record_batch({"element": pa.array(element[s]), "node": pa.array(node[s]), "at": pa.array(at[s]), "heavy": pa.array(heavy[s]), "known": pa.array(known[s])})
 
-    for b in batches:
-        lists = b["firsts"]
-        counts = np.diff(np.asarray(lists.offsets))
-        element = np.asarray(lists.flatten())
-        position = np.arange(len(element)) - np.repeat(np.cumsum(counts) - counts, counts)
-        held.append((element, np.repeat(np.asarray(b["node"]), counts), (np.repeat(np.asarray(b["n"]).astype(np.int64), counts) << 32) | position))
-        rows += len(element)
-        if rows >= flush:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        sizes: dict[int, int] = {}
+        rows = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nodes, n = np.array(list(held), np.int64), np.array(list(sizes.values()), np.int64)
+            counts = np.array([len(x) for x in held.values()])
+            element = np.concatenate(list(held.values()))
+            own = np.repeat(np.arange(len(nodes)), counts)
+            position = np.arange(len(element)) - np.repeat(np.cumsum(counts) - counts, counts)
+            order = np.argsort(element, kind="stable")
+            element, own, position = element[order], own[order], position[order]
+            starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+            several = np.diff(np.concatenate((starts, [len(element)])))
+            heavy = np.repeat(several > HEAVY, several)
+            elsewhere = heavy & (np.arange(len(element)) > np.repeat(starts, several))
+            to = mix(element) % np.uint64(parts)
+            to[elsewhere] = mix(nodes[own[elsewhere]].view(np.uint64)) % np.uint64(parts)
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
+            for k in range(parts):
+                at = order[cuts[k] : cuts[k + 1]]
+                if len(at):
+                    yield pa.record_batch({"to": pa.array([k], pa.int32()), "data": pa.array([_pack(element[at], own[at], position[at], heavy[at], nodes, n)], pa.binary())})
+
+        for b in batches:
+            for _, sets, digests in _parts(b, words):
+                for node, x in zip(_node(digests).tolist(), sets, strict=True):
+                    if len(x) and node not in held:
+                        held[node], sizes[node] = x[: _offered(len(x), percent)].copy(), len(x)
+                        rows += len(held[node])
+                if rows >= flush:
+                    yield from out()
+                    held.clear()
+                    sizes.clear()
+                    rows = 0
+        if rows:
             yield from out()
-            held, rows = [], 0
-    if rows:
-        yield from out()
+
+    return run
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one partition's elements, the rows of those that two nodes have at least, with `heavy` told."""
-    parts = [(np.asarray(b["element"]), np.asarray(b["node"]), np.asarray(b["at"]), np.asarray(b["heavy"].cast(pa.int8()))) for b in batches if b.num_rows]
-    if not parts:
+    blocks = [_unpack(x.as_py()) for b in batches for x in b["data"]]
+    if not blocks:
         return
-    element, node, at, heavy = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    element, node, at, heavy = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    del blocks
     order = np.argsort(element, kind="stable")
     element, node, at, heavy = element[order], node[order], at[order], heavy[order]
     starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
     counts = np.diff(np.concatenate((starts, [len(element)])))
-    marked = np.maximum.reduceat(heavy, starts) > 0
-    several = np.repeat((counts > 1) | marked, counts)
-    heavy = np.repeat((counts > HEAVY) | marked, counts)
-    keep = np.flatnonzero(several)
+    keep = np.flatnonzero(np.repeat((counts > 1) | np.logical_or.reduceat(heavy, starts), counts))
+    element, node, at, heavy = element[keep], node[keep], at[keep], heavy[keep]
+    order = np.lexsort((node, element))  # equal sets of several tasks are one node
+    element, node, at, heavy = element[order], node[order], at[order], heavy[order]
+    if not len(element):
+        return
+    first = np.concatenate(([True], (element[1:] != element[:-1]) | (node[1:] != node[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+    marked = np.repeat(np.logical_or.reduceat(heavy, starts), np.diff(np.concatenate((starts, [len(element)]))))
+    element, node, at, marked = element[first], node[first], at[first], marked[first]
+    starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+    counts = np.diff(np.concatenate((starts, [len(element)])))
+    heavy = np.repeat(counts > HEAVY, counts) | marked
+    keep = np.flatnonzero(np.repeat(counts > 1, counts) | marked)
     for lo in range(0, len(keep), 100_000):
         k = keep[lo : lo + 100_000]
-        yield pa.record_batch({"element": pa.array(element[k]), "node": pa.array(node[k]), "at": pa.array(at[k]), "heavy": pa.array(heavy[k])})
+        yield pa.record_batch({"element": pa.array(element[k].view(np.int64)), "node": pa.array(node[k]), "at": pa.array(at[k]), "heavy": pa.array(heavy[k])})
 
 
 def _tiles(percent: int):
-    """From a node's rows, in order of position, its tiles: (element, plain, node, n, dense).
+    """From a node's rows, in order of position, its tiles: (element, plain, common, node, n, dense).
 
-    plain tells the tiles in plain hash order, which serve pairs with a dense node.
+    plain tells the tiles in plain hash order, which serve pairs with a dense node; common those of
+    a heavy element, or that may have one.
     """
 
     def rows(node: int, at: np.ndarray, element: np.ndarray, heavy: np.ndarray):
@@ -176,7 +242,7 @@ def _tiles(percent: int):
         light = offered - int(heavy.sum())
         dense = light < need and offered < n
         plain = position < need
-        yield element[plain], True, dense
+        yield element[plain], True, True, dense
         if dense:
             return
         if light >= need:
@@ -187,10 +253,10 @@ def _tiles(percent: int):
                 if w > c:
                     break
                 c += 1
-            yield element[~heavy & (position <= c)], False, False
+            yield element[~heavy & (position <= c)], False, False, False
         else:
-            yield element[~heavy], False, False
-            yield element[heavy][: need - light], False, False
+            yield element[~heavy], False, False, False
+            yield element[heavy][: need - light], False, True, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches, "node"):
@@ -200,12 +266,13 @@ def _tiles(percent: int):
             out: list[tuple] = []
             for a, z in zip(starts, [*starts[1:], len(node)], strict=True):
                 at_, first = np.unique(at[a:z], return_index=True)
-                for e, plain, dense in rows(int(node[a]), at_, element[a:z][first], heavy[a:z][first]):
+                for e, plain, common, dense in rows(int(node[a]), at_, element[a:z][first], heavy[a:z][first]):
                     if len(e):
-                        out.append((e, plain, dense, int(node[a]), int(at[a] >> 32)))
+                        out.append((e, plain, common, dense, int(node[a]), int(at[a] >> 32)))
             if out:
                 k = [len(x[0]) for x in out]
-                yield pa.record_batch({"element": pa.array(np.concatenate([x[0] for x in out])), "plain": pa.array(np.repeat([x[1] for x in out], k)), "node": pa.array(np.repeat(np.array([x[3] for x in out], np.int64), k)), "n": pa.array(np.repeat(np.array([x[4] for x in out], np.int32), k)), "dense": pa.array(np.repeat([x[2] for x in out], k))})
+                column = lambda c, kind: pa.array(np.repeat(np.array([x[c] for x in out], kind), k))
+                yield pa.record_batch({"element": pa.array(np.concatenate([x[0] for x in out])), "plain": column(1, bool), "common": column(2, bool), "node": column(4, np.int64), "n": column(5, np.int32), "dense": column(3, bool)})
 
     return run
 
@@ -232,14 +299,45 @@ def _bound(n, m, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _may_link(percent: int):
+    """Of pairs with both bitmaps, those whose overlap may suffice; pairs of like widths are tested together."""
+
+    def rows(column: pa.Array, at: np.ndarray, width: int) -> np.ndarray:
+        values, starts = np.asarray(column.values).view(np.uint64), np.asarray(column.offsets)
+        return values[starts[at][:, None] + np.arange(width)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for n, m, x, y in zip(np.asarray(b["n_a"]), np.asarray(b["n_b"]), b["bits_a"], b["bits_b"], strict=True):
-                x, y = np.asarray(x.values).view(np.uint64), np.asarray(y.values).view(np.uint64)
-                width = min(len(x), len(y))
-                keep.append(bool(_bound(int(n), int(m), fold(x, width), fold(y, width)) >= least_overlap(int(n), int(m), percent)))
-            yield pa.record_batch({"a": b["a"], "b": b["b"]}).filter(pa.array(keep, pa.bool_()))
+            n, m = np.asarray(b["n_a"]).astype(np.int64), np.asarray(b["n_b"]).astype(np.int64)
+            x, y = (b[c].combine_chunks() if isinstance(b[c], pa.ChunkedArray) else b[c] for c in ("bits_a", "bits_b"))
+            wide_x, wide_y = np.diff(np.asarray(x.offsets)), np.diff(np.asarray(y.offsets))
+            keep = np.zeros(b.num_rows, bool)
+            for w, v in {(int(w), int(v)) for w, v in zip(wide_x, wide_y, strict=True)}:
+                group = np.flatnonzero((wide_x == w) & (wide_y == v))
+                for lo in range(0, len(group), max(1, (1 << 20) // max(w, v))):
+                    at = group[lo : lo + max(1, (1 << 20) // max(w, v))]
+                    most = _bound(n[at], m[at], fold(rows(x, at, w), min(w, v)), fold(rows(y, at, v), min(w, v)))
+                    keep[at] = most >= least_overlap(n[at], m[at], percent)
+            yield pa.record_batch({"a": b["a"], "b": b["b"]}).filter(pa.array(keep))
+
+    return run
+
+
+def _paired(percent: int):
+    """Of small tiles, the pairs within the size band whose components differ (and one of which is dense, in plain tiles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole(batches, "tile"):
+            tile = np.asarray(b["tile"])
+            ends = np.searchsorted(tile, tile, "right")
+            later = ends - np.arange(len(tile)) - 1
+            a = np.repeat(np.arange(len(tile)), later)
+            z = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
+            n, node, component = (np.asarray(b[c]).astype(np.int64) for c in ("n", "node", "component"))
+            plain, dense, visitor = (np.asarray(b[c].cast(pa.int8())) > 0 for c in ("plain", "dense", "visitor"))
+            small, large = np.minimum(n[a], n[z]), np.maximum(n[a], n[z])
+            fit = (100 * small >= percent * large) & (component[a] != component[z]) & (~plain[a] | dense[a] | dense[z]) & ~(visitor[a] & visitor[z])
+            pairs = np.unique(np.stack((np.minimum(node[a[fit]], node[z[fit]]), np.maximum(node[a[fit]], node[z[fit]])), 1), axis=0)
+            yield pa.record_batch({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
 
     return run
 
@@ -257,17 +355,6 @@ def _linked(percent: int):
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                sets = list(shingle_sets(part["text"], words))
-                yield pa.record_batch({"key": part["key"], "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), "elements": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    return run
-
-
 def _compared(percent: int):
     """Of tiles (rows with element, plain, i, j sorted together), the pairs of different components whose bitmaps allow a link."""
 
@@ -275,7 +362,7 @@ def _compared(percent: int):
         n = np.asarray(b["n"]).astype(np.int64)
         order = np.argsort(n, kind="stable")
         n = n[order]
-        node, comp, dense, block = (np.asarray(b[c].cast(pa.int64()))[order] for c in ("node", "component", "dense", "block"))
+        node, comp, dense, block, visitor = (np.asarray(b[c].cast(pa.int64()))[order] for c in ("node", "component", "dense", "block", "visitor"))
         lists = [np.asarray(b["bits"][int(k)].values).view(np.uint64) for k in order]
         plain, i, j = b["plain"][0].as_py(), b["i"][0].as_py(), b["j"][0].as_py()
         widths = np.array([len(x) for x in lists])
@@ -288,7 +375,7 @@ def _compared(percent: int):
             if end <= k + 1:
                 continue
             s = slice(k + 1, end)
-            fit = comp[s] != comp[k]
+            fit = (comp[s] != comp[k]) & (visitor[s] * visitor[k] == 0)
             if plain:
                 fit &= (dense[s] | dense[k]) > 0
             if i != j:
@@ -319,73 +406,87 @@ class _Join:
 
     def __init__(self, docs: DataFrame, key: str, text: str, words: int, percent: int):
         self.words, self.percent, self.spark = words, percent, docs.sparkSession
+        self.step = 1.0001 * math.log(100 / percent)
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        self.features = written(self.docs.mapInArrow(_features(words, percent), "key long, n int, digest binary, firsts array<long>, bits array<long>"), "features")
-        self.nodes = written(self.features.where("n > 0").groupBy("digest").agg(F.min("key").alias("first"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    def of_nodes(self, *columns: str) -> DataFrame:
-        """One row of `features` for each node (more where rows repeat their key and text)."""
-        own = self.nodes.select("node", "digest", F.coalesce("first", F.lit(-1 << 63)).alias("_key"))
-        return self.features.withColumn("_key", F.coalesce("key", F.lit(-1 << 63))).join(own, ["digest", "_key"]).select("node", *columns)
+        self.features = written(self.docs.mapInArrow(_features(words), "key long, n int, node long, digest binary, bits array<long>"), "features")
+        self.nodes = written(self.features.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), (F.min("digest") != F.max("digest")).alias("mixed")), "nodes")
+        if not self.nodes.where("mixed").isEmpty():
+            raise ValueError("two different sets have one 64-bit digest")
 
     def tiles(self) -> DataFrame:
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.of_nodes("n", "firsts").mapInArrow(_elements, "element long, node long, at long, heavy boolean, known boolean")
-        spread = F.when(F.col("known"), F.xxhash64("node")).otherwise(F.col("element"))
-        rows = written(rows.withColumn("_to", F.pmod(F.xxhash64(spread), F.lit(parts * 64)).cast("int")).repartition(parts, "_to").drop("_to", "known").mapInArrow(_met, "element long, node long, at long, heavy boolean"), "elements")
-        tiles = rows.repartition(parts, "node").sortWithinPartitions("node", "at").mapInArrow(_tiles(self.percent), "element long, plain boolean, node long, n int, dense boolean")
-        tiles = written(tiles, "tiles")
-        dense = tiles.where("dense").select("element", F.lit(True).alias("plain")).distinct()
-        return tiles.where("not plain").unionByName(tiles.where("plain").join(dense, ["element", "plain"], "left_semi").select(tiles.columns))
-
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """(node, elements) of some nodes, from their texts."""
-        own = self.nodes.join(nodes, "node", "left_semi")
-        keys = own.select("first").distinct()
-        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-        rows = self.docs.join(keys, F.col("key").eqNullSafe(F.col("first")), "left_semi").mapInArrow(_sets(self.words), "key long, digest binary, elements array<long>")
-        return rows.join(own.select("node", "digest", "first"), (rows["digest"] == own["digest"]) & rows["key"].eqNullSafe(own["first"])).select("node", "elements")
-
-    def verified(self, pairs: DataFrame, sets: DataFrame, bounded: bool) -> DataFrame:
-        if not bounded:
-            for end in ("a", "b"):
-                pairs = pairs.join(self.signatures.withColumnsRenamed({"node": end, "n": f"n_{end}", "bits": f"bits_{end}"}), end)
-            pairs = pairs.mapInArrow(_may_link(self.percent), "a long, b long")
+        """Tiles of two nodes at least, plain ones only with a dense one: element, plain, cell, node, n, dense, visitor.
+
+        Common elements have a tile for each size band (its cell), which the band below visits.
+        """
+        rows = self.docs.mapInArrow(_elements(self.words, self.percent, self.parts * 8), "to int, data binary")
+        rows = rows.repartition(self.parts, "to").mapInArrow(_met, "element long, node long, at long, heavy boolean")
+        rows = written(rows, "elements").repartition(self.parts, "node").sortWithinPartitions("node", "at")
+        tiles = written(rows.mapInArrow(_tiles(self.percent), "element long, plain boolean, common boolean, node long, n int, dense boolean"), "tiles")
+        band = F.floor(F.log("n") / self.step).cast("int")
+        cell = lambda c, v: F.struct(c.alias("cell"), F.lit(v).alias("visitor"))
+        cells = F.when(F.col("common"), F.array(cell(band, False), cell(band + 1, True))).otherwise(F.array(cell(F.lit(-1), False)))
+        tiles = tiles.select("*", F.explode(cells).alias("_c")).select("element", "plain", "node", "n", "dense", "_c.cell", "_c.visitor")
+        useful = tiles.groupBy(*TILE).agg(F.count("*").alias("rows"), F.max("dense").alias("any"), F.min("visitor").alias("away")).where("rows > 1 and not away and (any or not plain)")
+        return tiles.join(useful.select(*TILE), TILE)
+
+    def bounded(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+        """The pairs (a, b) that may link by their bitmaps."""
+        for end in ("a", "b"):
+            pairs = pairs.join(signatures.withColumnsRenamed({"node": end, "n": f"n_{end}", "bits": f"bits_{end}"}), end)
+        return pairs.mapInArrow(_may_link(self.percent), "a long, b long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their elements, which are made anew from the texts of these pairs alone."""
+        pairs = written(pairs, "pairs")
+        own = self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("first").alias("_first"), F.col("node").alias("_node"))
+        own = written(own, "members")
+        own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+        sets = self.docs.join(own.select("_first").distinct(), F.col("key").eqNullSafe(F.col("_first")), "left_semi").mapInArrow(_sets(self.words), "key long, node long, elements array<long>")
+        sets = written(sets.join(own, (F.col("node") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_first")), "left_semi").drop("key"), "sets")
         for end in ("a", "b"):
             pairs = pairs.join(sets.withColumnsRenamed({"node": end, "elements": f"set_{end}"}), end)
         return pairs.mapInArrow(_linked(self.percent), "a long, b long").distinct()
 
+    def joined(self, label: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after each component took the name of one that its nodes' leaders have, and that one's new name.
+
+        Equal labels are connected, which is all that the search needs; the last step finds the rest.
+        """
+        for end in ("a", "b"):
+            links = links.join(label.withColumnsRenamed({"node": end, "component": f"of_{end}"}), end)
+        hook = written(links.where("of_a <> of_b").groupBy(F.col("of_a").alias("component")).agg(F.min("of_b").alias("leads")), "hooks")
+        hook = hook.join(hook.select(F.col("component").alias("leads"), F.col("leads").alias("above")), "leads", "left").select("component", F.coalesce("above", "leads").alias("leads"))
+        return written(label.join(hook, "component", "left").select("node", F.coalesce("leads", "component").alias("component")), "labels")
+
     def run(self) -> DataFrame:
         """(node, component) of the nodes that link with another."""
-        step = math.log(100 / self.percent)
-        band = lambda shift: F.floor(F.log("n") / step + shift).cast("int")
         tiles = written(self.tiles(), "tiles")
-        own = F.count("*").alias("rows")
-        alone = tiles.groupBy("element", "plain").agg(own).where("rows > 1").select("element", "plain")
-        tiles = written(tiles.join(alone, ["element", "plain"]), "tiles")
-        members = written(tiles.select("node").distinct(), "members")
-        self.signatures = written(self.of_nodes("n", "bits").join(members, "node", "left_semi"), "signatures")
-        sets = written(self.sets(members), "sets")
-        label = self.spark.createDataFrame([], "node long, component long")
+        own = self.nodes.select("node", F.col("first").alias("_first")).join(tiles.select("node").distinct(), "node", "left_semi")
+        signatures = written(self.features.join(own, ["node"], "inner").where(F.col("key").eqNullSafe(F.col("_first"))).select("node", "n", "bits"), "signatures")
+        label = written(signatures.select("node", F.col("node").alias("component")).distinct(), "labels")
         links = self.spark.createDataFrame([], "a long, b long")
-        for turn in range(2):
-            rows = tiles.join(label, "node", "left").withColumn("band", band(turn / 2))
-            first = rows.groupBy("element", "plain", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")).alias("leader"))
-            pairs = rows.join(first, ["element", "plain", "band"]).where("node <> leader.node and not (component <=> leader.component and component is not null)")
-            pairs = pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
-            links = written(links.unionByName(self.verified(pairs, sets, bounded=False)), "links")
-            label = components(links)
-        rest = tiles.join(label, "node", "left").withColumn("component", F.coalesce("component", -1 - F.col("node")))
-        size = rest.groupBy("element", "plain").agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rest = rest.join(size.select("element", "plain", "rows"), ["element", "plain"]).join(self.signatures.select("node", "bits"), "node")
-        rest = rest.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        rest = rest.withColumn("tile", F.xxhash64("element", "plain", "i", "j"))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rest = rest.select("tile", "plain", "i", "j", "block", "node", "component", "n", "dense", "bits").repartition(parts, "tile").sortWithinPartitions("tile")
-        pairs = rest.mapInArrow(_compared(self.percent), "a long, b long").distinct()
-        links = written(links.unionByName(self.verified(pairs, sets, bounded=True)), "links")
-        return components(links)
+        tile = [*TILE, "band"]
+        for turn in range(LEADERS):
+            rows = tiles.join(label, "node").withColumn("band", F.when(F.col("cell") < 0, F.floor(F.log("n") / self.step + turn % 2 / 2)).otherwise(-1).cast("int"))
+            own = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")
+            led = rows.groupBy(*tile).agg(F.min(own).alias("leader"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+            pairs = rows.join(led, tile).where("component <> leader.component")
+            pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
+            new = written(self.verified(self.bounded(pairs, signatures)), "links")
+            links, label = links.unionByName(new), self.joined(label, new)
+        rest = tiles.join(label, "node")
+        apart = rest.groupBy(*TILE).agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        rest = written(rest.join(apart.select(*TILE, "rows"), TILE).withColumn("tile", F.xxhash64(*TILE)), "apart")
+        few = rest.where(F.col("rows") <= HEAVY).select("tile", "plain", "node", "component", "n", "dense", "visitor").repartition(self.parts, "tile").sortWithinPartitions("tile")
+        pairs = self.bounded(few.mapInArrow(_paired(self.percent), "a long, b long").distinct(), signatures)
+        many = rest.where(F.col("rows") > HEAVY).join(signatures.select("node", "bits"), "node")
+        many = many.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        many = many.withColumn("tile", F.xxhash64(*TILE, "i", "j"))
+        many = many.select("tile", "plain", "i", "j", "block", "node", "component", "n", "dense", "visitor", "bits").repartition(self.parts, "tile").sortWithinPartitions("tile")
+        pairs = pairs.unionByName(many.mapInArrow(_compared(self.percent), "a long, b long")).distinct()
+        return components(written(links.unionByName(self.verified(pairs)), "links"))
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,9 +500,9 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     label = join.run()
     nodes = join.nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes.groupBy("component").agg(F.min("first").alias("id"))
-    nodes = nodes.join(ids, "component").select("digest", "id")
-    rows = join.features.select("key", "n", "digest")
-    return rows.join(nodes, "digest", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("id")).alias("component_id"))
+    nodes = nodes.join(ids, "component").select("node", "id")
+    rows = join.features.select("key", "n", "node")
+    return rows.join(nodes, "node", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
