@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK, SNIPPETS, SNIPPET, LANES = 256, 128, 256, 4096
+BLOCK, SNIPPETS, SNIPPET, LANES, BROADCAST_ROWS = 256, 128, 256, 4096, 100_000
 HOLD, FOLDS = 0, 5
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -152,6 +152,7 @@ def sample(docs: DataFrame, text: str, lang: str, key: str, snippets: int = SNIP
     """Snippets of labelled rows for each language: about `snippets` rows by the hash of their key, one snippet a row at a place that the hash picks."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("snippet")).alias("h"))
     share = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.broadcast(share) if share.count() <= BROADCAST_ROWS else share  # a row a language
     within = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40)) < 2.0 * snippets / F.col("n")
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - SNIPPET, F.lit(1))).cast("int") + 1
     found = rows.join(share, "lang").where(within).select("lang", F.substr("text", place, F.lit(SNIPPET)).alias("text"), "h")
@@ -187,7 +188,7 @@ def predict(docs: DataFrame, model: dict[str, list[str]], text: str = "text", ke
                     need = own.pieces(texts)
                     best = need.argmin(1)
                     for k, t in enumerate(texts):
-                        if t:
+                        if any(map(str.isalpha, t)):
                             two = np.sort(need[k])[:2]
                             langs[k], scores[k] = own.languages[best[k]], float(1 - two[0] / two[1]) if len(two) > 1 else 1.0
                 yield pa.record_batch({"key": part["key"], "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
