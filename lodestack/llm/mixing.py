@@ -2,11 +2,12 @@
 
 Every document may be served twice (two epochs of its source). Within a source, copies stand in a
 shuffled order, the order of the MD5 of their id, epoch by epoch; a copy's virtual finish time is
-the source's words up to and including it, divided by the source's target. The mix is all copies
-in the order of finish times, truncated when the budget is spent. As a source's share of service
-is its target, and no target exceeds two epochs, the budget is spent at virtual time
-budget / (sum of targets) exactly: copies that finish by then are taken whole, and the copy of each
-source then in service gives the words served so far.
+the source's words up to and including it, divided by the source's target, and each of its words
+has a finish time likewise. The mix is the words of all copies in the order of finish times,
+truncated where running sums over that one order reach the budget, the whole words of all targets.
+So copies before the cut are taken whole, and the copy of each source then in service gives the
+words served so far. As no target exceeds two epochs, no word beyond virtual time 1 is needed, and
+words that tie are all on one side of the cut.
 
 Scale: running sums never put a source, or the whole order, into one task. The first hex digits of
 the shuffle key, or the finish time itself, cut each order into bins of nearly equal size; windows
@@ -66,23 +67,71 @@ def placed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return rows.select("key", "source", "shuffle", "size", "source_size", "target", (F.col("within") + F.col("carried")).alias("cum"))
 
 
+def _finish(word: Column) -> Column:
+    """The virtual time at which a source has served its first `word` words."""
+    return word / F.nullif("target", F.lit(0.0))
+
+
+def cut(rows: DataFrame, epochs: int = EPOCHS, bins: int = BINS, budget: int | None = None) -> DataFrame:
+    """One row (at): the finish time of the last word dealt when `budget` words of all sources have been, null if none are.
+
+    Words of all copies are ranged by finish time into bins; sums of bins carry over, the bin in
+    which the budget ends is ranged again, and only the words of one of its bins are numbered.
+    The default budget is the whole words of all targets; more than all words deals all of them.
+    """
+    copies = rows.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    copies = copies.withColumn("start", F.col("cum") - F.col("size") + F.col("copy") * F.col("source_size"))
+    bin_of = lambda word: F.floor(_finish(word) * bins + 0.5)
+    parts = copies.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") + 1), bin_of(F.col("start") + F.col("size")))))
+    upto = lambda edge: F.least(F.greatest(F.ceil((edge - 0.5) / bins * F.col("target")) - 1 - F.col("start"), F.lit(0)), F.col("size"))
+    lo = F.when(F.col("bin") == bin_of(F.col("start") + 1), F.lit(0)).otherwise(upto(F.col("bin")))
+    hi = F.when(F.col("bin") == bin_of(F.col("start") + F.col("size")), F.col("size")).otherwise(upto(F.col("bin") + 1))
+    parts = parts.select("bin", "start", "target", lo.alias("lo"), hi.alias("hi")).where("lo < hi")
+    if budget is None:
+        total = rows.groupBy("source").agg(F.first("target").alias("target")).agg(F.coalesce(F.sum(F.floor("target")), F.lit(0)).alias("total"))
+    else:
+        total = rows.sparkSession.range(1).select(F.lit(budget).cast("long").alias("total"))
+
+    def last(sums: DataFrame, total: DataFrame, by: str) -> DataFrame:
+        """(by, total): the first bin whose running sum reaches the total, or the last one, and the words to take of it."""
+        x = sums.withColumn("carried", F.sum("words").over(Window.orderBy(by)) - F.col("words")).join(F.broadcast(total))
+        x = x.where("carried < total").agg(F.max_by(F.struct(by, F.least(F.col("total") - F.col("carried"), F.col("words")).alias("total")), by).alias("x"))
+        return x.where("x is not null").select("x.*")
+
+    first = last(parts.groupBy("bin").agg(F.sum(F.col("hi") - F.col("lo")).alias("words")), total, "bin")
+    words = parts.join(F.broadcast(first), "bin").withColumn("word", F.explode(F.sequence(F.col("start") + F.col("lo") + 1, F.col("start") + F.col("hi"))))
+    words = words.select(_finish(F.col("word")).alias("finish"), F.floor((_finish(F.col("word")) * bins + 0.5 - F.col("bin")) * bins).alias("fine"), "total")
+    words = written(words, "mix-cut")
+    second = last(words.groupBy("fine").agg(F.count("*").alias("words")), words.select("total").limit(1), "fine")
+    words = words.drop("total").join(F.broadcast(second), "fine")
+    return words.withColumn("nth", F.row_number().over(Window.orderBy("finish"))).where("nth <= total").agg(F.max("finish").alias("at"))
+
+
+def _dealt(rows: DataFrame, epochs: int, bins: int) -> DataFrame:
+    """Rows of `placed` with `dealt`: the words of their source that finish by the cut of the mix."""
+    rows = written(rows, "mix-placed")
+    n = F.floor(F.col("at") * F.col("target"))
+    n = F.when(_finish(n + 1) <= F.col("at"), n + 1).when(_finish(n) <= F.col("at"), n).otherwise(n - 1)
+    return rows.join(F.broadcast(written(cut(rows, epochs, bins), "mix-at"))).withColumn("dealt", F.coalesce(n, F.lit(0)))
+
+
 def _served(copy: Column) -> Column:
-    """Words that a copy has given when the budget is spent: all, some or none of its size."""
+    """Words of a copy up to the cut: all, some or none of its size."""
     start = F.col("cum") - F.col("size") + copy * F.col("source_size")
-    return F.floor(F.least(F.greatest(F.col("target") - start, F.lit(0.0)), F.col("size").cast("double"))).cast("long")
+    return F.least(F.greatest(F.col("dealt") - start, F.lit(0)), F.col("size")).cast("long")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, **options) -> DataFrame:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, bins: int = BINS, **options) -> DataFrame:
     """The mix: copies range-sorted by virtual finish time and truncated at the budget.
 
     Columns: key, source, copy, size, words (taken), finish.
     """
-    copies = placed(df, key, text, source, epochs=epochs, **options).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    copies = copies.select("key", "source", "shuffle", "copy", "size", _served(F.col("copy")).alias("words"), ((F.col("cum") + F.col("copy") * F.col("source_size")) / F.nullif("target", F.lit(0.0))).alias("finish"))
+    copies = _dealt(placed(df, key, text, source, epochs=epochs, bins=bins, **options), epochs, bins).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    copies = copies.select("key", "source", "shuffle", "copy", "size", _served(F.col("copy")).alias("words"), _finish(F.col("cum") + F.col("copy") * F.col("source_size")).alias("finish"))
     return copies.where("words > 0").orderBy("finish", F.col("source").isNull(), "source", "shuffle", "copy").drop("shuffle").withColumnRenamed("key", key)
 
 
-def mix_report(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, **options) -> DataFrame:
+def mix_report(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", epochs: int = EPOCHS, bins: int = BINS, **options) -> DataFrame:
     """One row per input row: key, size, source_size and target of its source, taken (words the mix takes of it, over all copies).
 
     A null text has no words and gives none. Rows without a source are a source of their own, the
@@ -90,7 +139,8 @@ def mix_report(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
     0; an empty table gives no rows. Columns beyond the three named ones are ignored.
     """
     taken = sum((_served(F.lit(i)) for i in range(1, epochs)), _served(F.lit(0)))
-    return placed(df, key, text, source, epochs=epochs, **options).select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
+    rows = _dealt(placed(df, key, text, source, epochs=epochs, bins=bins, **options), epochs, bins)
+    return rows.select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,19 @@ def test_odd_rows(odd, none):
     assert len(rows) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert m.mix_report(none).count() == 0
     assert all(r["taken"] == 0 for r in m.mix_report(odd.where("text is null")).collect())
+
+
+def test_cut_is_a_place_in_the_one_order_of_all_words(spark):
+    """Truncated at any total budget, as by sorting every word of every copy."""
+    rows = [(k, "w " * (k % 37 + (900 if k == 7 else 0)), ["a", "b", "c", None][k % 4] if k % 3 else "a") for k in range(150)]
+    placed = m.written(m.placed(spark.createDataFrame(rows, "doc_id long, text string, source string")), "placed")
+    of = {r["source"]: (r["source_size"], r["target"]) for r in placed.collect()}
+    every = sorted(j / t for n, t in of.values() for j in range(1, 2 * n + 1))
+    whole = sum(int(t) for _, t in of.values())
+    for bins in (1, 8, 1024):
+        for budget in (None, 0, 1, 77, whole - 1, len(every), 10**9):
+            at = m.cut(placed, bins=bins, budget=budget).first()["at"]
+            n = whole if budget is None else min(budget, len(every))
+            assert at == (every[n - 1] if n else None)
+    dealt = m._dealt(placed, 2, 8).select("source", "target", "dealt").distinct().collect()
+    assert {r["source"]: r["dealt"] for r in dealt} == {s: int(t) for s, (_, t) in of.items()}
