@@ -19,6 +19,9 @@ nodes. What is then still apart in a tile is compared in full. All pairs are tes
 a bit that only one of two sets has is an element that only it has, so bit counts bound the overlap
 from above. The few that pass are verified exactly, by intersecting their sorted elements.
 
+Links. The join needs components only and never tests two nodes that are in one component by then.
+`jaccard_links` skips the leaders and compares all nodes of a tile, so it counts every link.
+
 Scale: elements are shuffled once, packed as 12 bytes each, and of those that are already heavy
 within a task one row goes to their range, the others elsewhere. Texts never are shuffled: sets are
 kept for no text, and made again for the texts of pairs to be verified. Tiles of common elements are
@@ -459,12 +462,20 @@ class _Join:
         hook = hook.join(hook.select(F.col("component").alias("leads"), F.col("leads").alias("above")), "leads", "left").select("component", F.coalesce("above", "leads").alias("leads"))
         return written(label.join(hook, "component", "left").select("node", F.coalesce("leads", "component").alias("component")), "labels")
 
-    def run(self) -> DataFrame:
-        """(node, component) of the nodes that link with another."""
+    def tiled(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The tiles, and of their nodes the signatures (node, n, bits) and first labels, each node its own component."""
         tiles = written(self.tiles(), "tiles")
         own = self.nodes.select("node", F.col("first").alias("_first")).join(tiles.select("node").distinct(), "node", "left_semi")
         signatures = written(self.features.join(own, ["node"], "inner").where(F.col("key").eqNullSafe(F.col("_first"))).select("node", "n", "bits"), "signatures")
-        label = written(signatures.select("node", F.col("node").alias("component")).distinct(), "labels")
+        return tiles, signatures, written(signatures.select("node", F.col("node").alias("component")).distinct(), "labels")
+
+    def links(self) -> DataFrame:
+        """Every link (a, b) of two different nodes, once: what is compared in full is all that shares a tile."""
+        return self.apart(*self.tiled())
+
+    def run(self) -> DataFrame:
+        """(node, component) of the nodes that link with another."""
+        tiles, signatures, label = self.tiled()
         links = self.spark.createDataFrame([], "a long, b long")
         tile = [*TILE, "band"]
         for turn in range(LEADERS):
@@ -475,6 +486,10 @@ class _Join:
             pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
             new = written(self.verified(self.bounded(pairs, signatures)), "links")
             links, label = links.unionByName(new), self.joined(label, new)
+        return components(written(links.unionByName(self.apart(tiles, signatures, label)), "links"))
+
+    def apart(self, tiles: DataFrame, signatures: DataFrame, label: DataFrame) -> DataFrame:
+        """The links (a, b) of nodes that share a tile and whose labels differ."""
         rest = tiles.join(label, "node")
         apart = rest.groupBy(*TILE).agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         rest = written(rest.join(apart.select(*TILE, "rows"), TILE).withColumn("tile", F.xxhash64(*TILE)), "apart")
@@ -486,7 +501,7 @@ class _Join:
         many = many.withColumn("tile", F.xxhash64(*TILE, "i", "j"))
         many = many.select("tile", "plain", "i", "j", "block", "node", "component", "n", "dense", "visitor", "bits").repartition(self.parts, "tile").sortWithinPartitions("tile")
         pairs = pairs.unionByName(many.mapInArrow(_compared(self.percent), "a long, b long")).distinct()
-        return components(written(links.unionByName(self.verified(pairs)), "links"))
+        return self.verified(pairs)
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -497,12 +512,35 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     their own. An empty table gives no rows; other columns are ignored.
     """
     join = _Join(df, key, text, words, percent)
-    label = join.run()
+    return _rows(join, join.run(), key).drop("node")
+
+
+def jaccard_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of `jaccard_join` with n_links: how many other rows each row links with, those of equal sets too.
+
+    Every link is found and verified, also those between nodes that others connect already, which
+    the join passes over; so the work grows with the number of links between different sets.
+    """
+    join = _Join(df, key, text, words, percent)
+    links = written(join.links(), "links")
+    copies = join.features.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    counts = copies.join(others, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return _rows(join, components(links), key).join(counts, "node", "left").drop("node").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def _rows(join: _Join, label: DataFrame, key: str) -> DataFrame:
+    """(node, key, n_shingles, component_id) of every input row."""
     nodes = join.nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = nodes.groupBy("component").agg(F.min("first").alias("id"))
     nodes = nodes.join(ids, "component").select("node", "id")
     rows = join.features.select("key", "n", "node")
-    return rows.join(nodes, "node", "left").select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("id")).alias("component_id"))
+    return rows.join(nodes, "node", "left").select("node", F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("id")).alias("component_id"))
+
+
+def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,3 +556,4 @@ l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
 """
+LINKS_SQL = SQL.replace("AS component_id FROM", "AS component_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id)::BIGINT AS n_links FROM")

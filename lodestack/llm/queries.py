@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_sharding": sharding.op8_sharding,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op9_jaccard_links": jaccard_join.op9_jaccard_links,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_sharding": sharding.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op9_jaccard_links": jaccard_join.LINKS_SQL,
 }

@@ -93,3 +93,30 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 6), 1), 10: 10, 11: 10, 12: 10, 7: 7, **dict.fromkeys(range(100, 150), 100), 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_within_components_are_counted(spark, monkeypatch, odd):
+    """Every link of all pairs of rows, in groups of near copies, with tiles of several blocks."""
+    monkeypatch.setattr(j, "HEAVY", 2)
+    monkeypatch.setattr(j, "BLOCK", 4)
+    for rows, df in ((corpus(3), None), ([(r["doc_id"], r["text"]) for r in odd.collect()], odd)):
+        sets = []
+        for _, t in rows:
+            w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+            sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        n = [sum(b != a and 100 * len(x & y) >= 85 * len(x | y) for b, y in enumerate(sets) if x and y) for a, x in enumerate(sets)]
+        want = sorted(((*row, k) for row, k in zip(brute_in_order(rows), n, strict=True)), key=repr)
+        df = df or spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, j.jaccard_links(df).collect()), key=repr) == want
+
+
+def brute_in_order(rows):
+    """The rows of `brute` in the order of the input, by numbers in place of keys."""
+    numbered = brute([(k, t) for k, (_, t) in enumerate(rows)])
+    group = {k: c for k, _, c in numbered}
+    size = {k: n for k, n, _ in numbered}
+    least = {}
+    for k, (key, _) in enumerate(rows):
+        if key is not None:
+            least[group[k]] = min(key, least.get(group[k], key))
+    return [(key, size[k], least.get(group[k]) if size[k] else key) for k, (key, _) in enumerate(rows)]
