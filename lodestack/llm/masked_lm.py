@@ -9,9 +9,10 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. The
 frequent have embeddings and counts of their own; all others share one embedding, and the
 probability of their class, evenly over the other words there are.
 
-Training is local gradient descent: each task trains on its share of the corpus from the last
-round's weights, and the weights of all tasks, by their number of examples, are averaged in a tree
-of groups, round after round.
+Training is local gradient descent over all documents, dealt to the rounds by hash; a run's last
+batch may be short. Each task trains on its share of a round from the last round's weights, and the
+weights of all tasks, by their number of examples, are averaged in a tree of groups, round after
+round.
 
 Scale: counts of words cover the corpus and are merged in each batch before their shuffle; the
 vocabulary and the weights that are broadcast have a fixed size (some 200 KB). Scoring is one pass.
@@ -32,7 +33,7 @@ from .storage import written
 from .words import SYMBOLS, hashed
 
 VOCABULARY, CLASSES, SIDE, EMBED, HIDDEN = 4095, 32, 2, 8, 32
-ROUNDS, SHARE, BATCH, RATE, GROUP = 2, 0.05, 512, 0.1, 32
+ROUNDS, BATCH, RATE, GROUP = 2, 512, 0.1, 32
 
 
 @dataclass
@@ -99,7 +100,8 @@ class Network:
         b2 -= rate * d.sum(0)
         w1 -= rate * (x.T @ dh)
         b1 -= rate * dh.sum(0)
-        np.subtract.at(embed, context.ravel(), np.float32(rate * len(context) ** 0.5) * dx)
+        at = context.reshape(-1, 1) * EMBED + np.arange(EMBED)
+        np.subtract.at(embed.reshape(-1), at.ravel(), (np.float32(rate * len(context) ** 0.5) * dx).ravel())
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
@@ -134,10 +136,11 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([int(table["id"][0].as_py()) // GROUP], pa.int64()), "n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def train(rows: DataFrame, words: Words, rounds: int = ROUNDS, share: float = SHARE) -> np.ndarray:
-    """Averaged weights after `rounds` rounds, each over another `share` of the documents, by their hash."""
+def train(rows: DataFrame, words: Words, rounds: int = ROUNDS, share: float | None = None) -> np.ndarray:
+    """Averaged weights after `rounds` rounds, each over another `share` of the documents, by their hash; by default 1 / rounds, so all documents train once."""
     spark = rows.sparkSession
     weights = Network(len(words.class_of)).weights
+    edges = [turn * 1_000_000 // rounds if share is None else int(turn * share * 1e6) for turn in range(rounds + 1)]
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast((words, weights))
 
@@ -149,14 +152,15 @@ def train(rows: DataFrame, words: Words, rounds: int = ROUNDS, share: float = SH
                     ids = own.ids(h[0])
                     context = contexts(ids, first, len(own.class_of))
                     target = own.class_of[ids]
-                    for at in range(0, len(ids) - BATCH + 1, BATCH):
-                        net.learn(context[at : at + BATCH], target[at : at + BATCH])
-                        n += BATCH
+                    for at in range(0, len(ids), BATCH):
+                        own_batch = slice(at, at + BATCH)
+                        net.learn(context[own_batch], target[own_batch])
+                    n += len(ids)
             if n:
                 yield pa.record_batch({"id": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([n], pa.int64()), "weights": pa.array([(net.weights.astype(np.float64) * n).tobytes()], pa.binary())})
 
         slot = F.pmod(F.xxhash64("key", F.lit("train")), F.lit(1_000_000))
-        part = rows.where(slot.between(int(turn * share * 1e6), int((turn + 1) * share * 1e6) - 1))
+        part = rows.where(slot.between(edges[turn], edges[turn + 1] - 1))
         trained = written(part.select("text").mapInArrow(run, "id long, n long, weights binary"), "weights")
         while trained.count() > GROUP:
             trained = written(trained.groupBy(F.floor(F.col("id") / GROUP).alias("group")).applyInArrow(_summed, "id long, n long, weights binary"), "weights")
@@ -189,8 +193,8 @@ def score(docs: DataFrame, words: Words, weights: np.ndarray, key: str = "doc_id
     return rows.select(F.col("key").alias(key), "n_tokens", "log_likelihood", (F.col("log_likelihood") / F.nullif("n_tokens", F.lit(0))).alias("mean_log_likelihood"))
 
 
-def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
-    """Learn from `docs` and score every row of it, whole texts.
+def pseudo_likelihood(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+    """Learn from `docs`, all of them, and score every row of it, whole texts.
 
     Null and wordless texts have no tokens and a sum of 0. Repeated rows are scored alike and stay;
     other columns are ignored; an empty table gives no rows.

@@ -43,3 +43,21 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count() and all(r["log_likelihood"] <= 0 for r in got)
     assert {(r["n_tokens"], r["mean_log_likelihood"]) for r in got if r["doc_id"] in (0, 1, 2)} == {(0, None)}
     assert m.pseudo_likelihood(none).count() == 0
+
+
+def test_every_token_trains_once(spark, monkeypatch):
+    """With the default rounds, of a table whose runs are all shorter than a batch too."""
+    counts, own = [], m.written
+
+    def written(df, name):
+        out = own(df, name)
+        if name == "weights":
+            counts.append(sum(r["n"] for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(m, "written", written)
+    rows = spark.createDataFrame([(k, "red green blue " * (1 + k % 3 + 400 * (k == 7))) for k in range(40)], "key long, text string")
+    words = m.vocabulary(rows)
+    weights = m.train(rows, words)
+    assert len(counts) == m.ROUNDS and all(counts) and sum(counts) == sum(3 * (1 + k % 3 + 400 * (k == 7)) for k in range(40))
+    assert not np.array_equal(weights, m.Network(len(words.class_of)).weights)
