@@ -1,19 +1,22 @@
 """A corpus pipeline: toxic documents go, one of each group of near copies stays, benchmark leaks go,
 sources are mixed to their target weights, and the mix is written as token ids.
 
-Every stage but the last returns the columns of its input. Rows without a doc_id are kept, since no
-decision can be addressed to them.
+Every stage but the last returns the columns of its input. Decisions are addressed to rows, by a
+number that each row gets when documents are first written; so rows that repeat a doc_id, or have
+none, are decided on one by one.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontamination, jaccard_join, mixing, tokens, toxicity
 from lodestack.llm.storage import written
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS, ROW = 2_000_000, "_row"
 
 
 def _small(df: DataFrame, name: str) -> DataFrame:
@@ -22,39 +25,58 @@ def _small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs`, written with a number for each row (`ROW`), unless they have it."""
+    if ROW in docs.columns:
+        return docs
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def _by_rows(stage):
+    """A stage over numbered rows that returns the columns of its input."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(spark, _numbered(docs), sf_dir).select(docs.columns)
+
+    return run_stage
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    return docs.join(_small(dropped.select("doc_id").distinct(), "dropped"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_small(dropped.select(ROW), "dropped"), ROW, "left_anti").select(docs.columns)
 
 
+@_by_rows
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from labels, which go by doc_id, and scores every row."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity.toxicity(docs, labels).where("predicted = 1"))
+    field = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")), "doc_id", "text")
+    return _without(docs, toxicity.score(docs, field, "text", ROW).where(F.col("score") >= toxicity.THRESHOLD))
 
 
+@_by_rows
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; the document with the smallest id of a group stays.
-
-    Where rows repeat a doc_id, one of the rows that stay with it is kept.
-    """
-    found = written(jaccard_join.jaccard_join(docs, words=5, percent=80), "near-copies")
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(_small(repeated.select("doc_id"), "repeated"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return _without(kept, repeated).unionByName(again)
+    """Five-word shingles, similarity 0.8 or more; of a group the row with the smallest id stays, the first of several."""
+    found = jaccard_join.jaccard_join(docs, key=ROW, words=5, percent=80).join(docs.select(ROW, "doc_id"), ROW)
+    found = written(found, "near-copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", ROW))
+    stay = found.groupBy("component_id").agg(first.alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return _without(docs, found.join(stay, ROW, "left_anti"))
 
 
+@_by_rows
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
     return _without(docs, found.where("contaminated"))
 
 
+@_by_rows
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of a document as the mix takes copies of it; a copy that is cut at the budget counts from a half on."""
-    report = mixing.mix_report(docs).where("size > 0")
-    copies = report.groupBy("doc_id").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies")).where("_copies > 0")
-    return docs.join(_small(copies, "copies"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """As many rows of a row as the mix takes copies of it; a copy that is cut at the budget counts from a half on."""
+    order = F.coalesce(F.col("doc_id").cast("string"), F.col(ROW).cast("string"))
+    report = mixing.mix_report(docs.withColumn("_order", order), key=ROW, order="_order").where("size > 0")
+    copies = report.select(ROW, F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
+    return docs.join(_small(copies, "copies"), ROW).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +96,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each over all that the one before kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs.drop(ROW), sf_dir)

@@ -25,12 +25,12 @@ WEIGHTS, SHARE, EPOCHS, BINS = (3, 1, 2), 1.5, 2, 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, size, shuffle): size counts the text's words; a null text has none."""
+def sizes(df: DataFrame, key: str, text: str, source: str, order: str | None = None) -> DataFrame:
+    """(key, source, size, shuffle): size counts the text's words; a null text has none. `order` is shuffled by, the key by default."""
     return df.select(
         F.col(key).alias("key"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
+        F.md5(F.coalesce(F.col(order or key).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
     )
 
 
@@ -53,9 +53,9 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     return x.select("of", "source_size", F.least(F.col("cap"), F.coalesce(F.col("water") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def placed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS) -> DataFrame:
+def placed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS, order: str | None = None) -> DataFrame:
     """One row per document: key, source, shuffle, size, source_size, target, cum (its source's words up to and with it, in one epoch)."""
-    rows = written(sizes(df, key, text, source), "mix-sizes")
+    rows = written(sizes(df, key, text, source, order), "mix-sizes")
     first = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
     rows = rows.withColumns({"of": F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")), "bin": F.floor(first * bins / F.lit(1 << 32)).cast("int")})
     sums = rows.groupBy("of", "bin").agg(F.sum("size").alias("words"))

@@ -41,3 +41,18 @@ def test_run_and_odd_rows(spark, odd):
     kept = p.drop_near_copies(spark, odd, PATH)
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1
     assert kept.where("text = 'the same words' or text = 'THE SAME words'").count() == 1
+
+
+def test_rows_that_share_an_id_or_have_none_are_decided_one_by_one(spark, monkeypatch):
+    clean = [" ".join(f"c{k}w{i}" for i in range(40)) for k in range(6)]
+    item = spark.read.parquet(f"{PATH}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    rows = [(7, clean[0], "s"), (7, clean[1], "s"), (7, item, "s"), (7, clean[1], "s"), (None, clean[2], "s"), (None, clean[3], "s"), (None, item, "s"), (None, clean[3], "s"), (8, clean[4], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+    assert texts(p.drop_near_copies(spark, docs, PATH)) == sorted({*clean[:5], item})
+    assert texts(p.drop_leaks(spark, docs, PATH)) == sorted(t for _, t, _ in rows if t != item)
+    mixed = p.mix_sources(spark, docs, PATH)
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} >= {7, None}
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score", lambda d, _, text, key: d.selectExpr(key, f"if({text} = '{clean[0]}' or {text} = '{clean[2]}', 1e9D, -1e9D) as score"))
+    assert texts(p.reject_toxic(spark, docs, PATH)) == sorted(t for _, t, _ in rows if t not in (clean[0], clean[2]))
