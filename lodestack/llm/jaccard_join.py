@@ -4,28 +4,35 @@ A document's set is its distinct word shingles, as sorted 64-bit hashes. Equal s
 
 Tiles. Two sets that link share an element among the first n - ceil(t n) + 1 of each, in any one
 order of all elements, so a tile is the nodes that have an element there. In a tile, a node meets
-those of its size band (sizes within the threshold of each other) only.
+those of its size band (sizes within the threshold of each other) only, and only those with which it
+can still link if the tile's element is their first common one: as many elements as must be shared
+have to follow it in both. A pair is always met in the tile of its first common element, so this
+loses none.
 
 The order. Hash order puts elements of common passages into many tiles. Elements that more than
 `HEAVY` nodes have are therefore moved to the end of the order: a node's first elements are then its
 first that aren't heavy. For that each node offers some more elements than it needs. A node with too
 few elements that aren't heavy (one of a large group of near copies, or little but common passages)
-is dense. Pairs with a dense node are found through tiles in plain hash order. Either order is the
-same for both nodes of a pair, so no link is lost.
+is dense. Nodes that share an early element, in hash order, with a dense one offer all their elements
+in a second pass, which finds the heavy ones among these nodes anew. So a member of a large group is
+met through what it has beside the group's text, and members that miss the threshold by a little
+mostly aren't met at all. Either order is the same for both nodes of a pair, so no link is lost.
 
-Pairs. Rounds of leaders come first: each tile's band elects one node by hash, and each node meets
-the least leader of its tiles, which joins a large group of near copies with as many pairs as it has
-nodes. What is then still apart in a tile is compared in full. All pairs are tested by bitmaps first:
-a bit that only one of two sets has is an element that only it has, so bit counts bound the overlap
-from above. The few that pass are verified exactly, by intersecting their sorted elements.
+Pairs. Rounds of leaders come first: each larger tile's band elects one node (that with the least of
+its own before the tile's element, or one by hash), and each node meets the least leader of its tiles, which joins a large group of near copies with as many pairs as it
+has nodes. What is then still apart in a tile is compared in full. All pairs are tested by bitmaps
+first: a bit that only one of two sets has is an element that only it has, so bit counts bound the
+overlap from above. Those that pass are verified exactly, by intersecting their sorted elements.
 
 Links. The join needs components only and never tests two nodes that are in one component by then.
 `jaccard_links` skips the leaders and compares all nodes of a tile, so it counts every link.
 
-Scale: elements are shuffled once, packed as 12 bytes each, and of those that are already heavy
-within a task one row goes to their range, the others elsewhere. Texts never are shuffled: sets are
-kept for no text, and made again for the texts of pairs to be verified. Tiles of common elements are
-split by size band, and tiles beyond `BLOCK` rows are compared as pairs of blocks, each a task's work of its own. Nothing is collected or capped.
+Scale: elements are shuffled packed as 12 bytes each, and of those that are already heavy within a
+task one row goes to their range, the others elsewhere. Texts never are shuffled: sets are kept for
+no text, and made again for the texts of pairs to be verified. Partitions follow the number of
+elements. Tiles of common elements are split by size band, and tiles beyond `BLOCK` rows are compared
+as pairs of blocks, each a task's work of its own. Nothing is collected or capped but the digests of
+different sets whose 64-bit names collide, by chance sets^2 / 2^64 of them, which get other names.
 """
 
 from __future__ import annotations
@@ -33,6 +40,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +48,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import written
+from .storage import forget, written
 from .words import WHITE, hashed, mix
 
-WORDS, PERCENT, HEAVY, BLOCK, LEADERS, BROADCAST_ROWS = 4, 85, 64, 4096, 4, 2_000_000
+WORDS, PERCENT, HEAVY, BLOCK, LEADERS, LED, BROADCAST_ROWS = 4, 85, 64, 4096, 2, 8, 2_000_000
+BITS, NAME_BYTES, PART_ROWS = 4, 8, 4_000_000
 TILE = ["element", "plain", "cell"]
 FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
 
@@ -78,8 +87,8 @@ def _offered(n: int, percent: int) -> int:
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
-    """As many bits as elements, rounded up to a power of two, at least 64."""
-    bits = 1 << max(6, (len(elements) - 1).bit_length())
+    """`BITS` bits for each element, rounded up to a power of two, at least 64."""
+    bits = 1 << max(6, (BITS * len(elements) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(mix(elements) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -109,25 +118,33 @@ def _parts(batch: pa.RecordBatch, words: int, rows: int = 500) -> Iterator[tuple
         yield part, sets, [_digest(x) for x in sets]
 
 
-def _node(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+@dataclass(frozen=True)
+class Names:
+    """64-bit names of digests: their first bytes, or those of a digest of the digest where two sets would share one."""
 
+    width: int
+    again: dict[bytes, int]
 
-def _features(words: int):
+    def of(self, digests: list[bytes]) -> np.ndarray:
+        own = (hashlib.blake2b(d, digest_size=16, salt=self.again[d].to_bytes(8, "little")).digest() if d in self.again else d for d in digests)
+        return np.frombuffer(b"".join(d[: self.width].ljust(8, b"\0") for d in own), np.int64)
+
+
+def _features(words: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, sets, digests in _parts(b, words):
                 bits = [bitmap(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-                yield pa.record_batch({"key": part["key"], "n": pa.array(list(map(len, sets)), pa.int32()), "node": pa.array(_node(digests)), "digest": pa.array(digests, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+                yield pa.record_batch({"key": part["key"], "n": pa.array(list(map(len, sets)), pa.int32()), "node": pa.array(names.of(digests)), "digest": pa.array(digests, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
     return run
 
 
-def _sets(words: int):
+def _sets(words: int, names: Names):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, sets, digests in _parts(b, words, 200):
-                yield pa.record_batch({"key": part["key"], "node": pa.array(_node(digests)), "elements": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
+                yield pa.record_batch({"key": part["key"], "node": pa.array(names.of(digests)), "elements": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
     return run
 
@@ -151,10 +168,10 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return element, nodes[own], (n[own] << 32) | position.astype(np.int64), np.unpackbits(heavy, count=rows).astype(bool)
 
 
-def _elements(words: int, percent: int, parts: int, flush: int = 2_000_000):
-    """Rows (to, data): the first elements of all texts, packed for each of `parts` ranges of elements.
+def _elements(words: int, names: Names, percent: int, whole: bool, parts: int, limit: int, flush: int = 1_000_000):
+    """Rows (to, data): the first elements of all texts, or all, packed for each of `parts` ranges of elements.
 
-    Equal sets of a task are one node from here on. Of an element that more than HEAVY nodes of the
+    Equal sets of a task are one node from here on. Of an element that more than `limit` nodes of the
     task have, one row goes to its range and says that it is heavy; the others are spread by node.
     """
 
@@ -173,7 +190,7 @@ def _elements(words: int, percent: int, parts: int, flush: int = 2_000_000):
             element, own, position = element[order], own[order], position[order]
             starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
             several = np.diff(np.concatenate((starts, [len(element)])))
-            heavy = np.repeat(several > HEAVY, several)
+            heavy = np.repeat(several > limit, several)
             elsewhere = heavy & (np.arange(len(element)) > np.repeat(starts, several))
             to = mix(element) % np.uint64(parts)
             to[elsewhere] = mix(nodes[own[elsewhere]].view(np.uint64)) % np.uint64(parts)
@@ -186,9 +203,9 @@ def _elements(words: int, percent: int, parts: int, flush: int = 2_000_000):
 
         for b in batches:
             for _, sets, digests in _parts(b, words):
-                for node, x in zip(_node(digests).tolist(), sets, strict=True):
+                for node, x in zip(names.of(digests).tolist(), sets, strict=True):
                     if len(x) and node not in held:
-                        held[node], sizes[node] = x[: _offered(len(x), percent)].copy(), len(x)
+                        held[node], sizes[node] = x[: len(x) if whole else _offered(len(x), percent)].copy(), len(x)
                         rows += len(held[node])
                 if rows >= flush:
                     yield from out()
@@ -201,65 +218,72 @@ def _elements(words: int, percent: int, parts: int, flush: int = 2_000_000):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one partition's elements, the rows of those that two nodes have at least, with `heavy` told."""
-    blocks = [_unpack(x.as_py()) for b in batches for x in b["data"]]
-    if not blocks:
-        return
-    element, node, at, heavy = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    del blocks
-    order = np.argsort(element, kind="stable")
-    element, node, at, heavy = element[order], node[order], at[order], heavy[order]
-    starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-    counts = np.diff(np.concatenate((starts, [len(element)])))
-    keep = np.flatnonzero(np.repeat((counts > 1) | np.logical_or.reduceat(heavy, starts), counts))
-    element, node, at, heavy = element[keep], node[keep], at[keep], heavy[keep]
-    order = np.lexsort((node, element))  # equal sets of several tasks are one node
-    element, node, at, heavy = element[order], node[order], at[order], heavy[order]
-    if not len(element):
-        return
-    first = np.concatenate(([True], (element[1:] != element[:-1]) | (node[1:] != node[:-1])))
-    starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-    marked = np.repeat(np.logical_or.reduceat(heavy, starts), np.diff(np.concatenate((starts, [len(element)]))))
-    element, node, at, marked = element[first], node[first], at[first], marked[first]
-    starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
-    counts = np.diff(np.concatenate((starts, [len(element)])))
-    heavy = np.repeat(counts > HEAVY, counts) | marked
-    keep = np.flatnonzero(np.repeat(counts > 1, counts) | marked)
-    for lo in range(0, len(keep), 100_000):
-        k = keep[lo : lo + 100_000]
-        yield pa.record_batch({"element": pa.array(element[k].view(np.int64)), "node": pa.array(node[k]), "at": pa.array(at[k]), "heavy": pa.array(heavy[k])})
-
-
-def _tiles(percent: int):
-    """From a node's rows, in order of position, its tiles: (element, plain, common, node, n, dense).
-
-    plain tells the tiles in plain hash order, which serve pairs with a dense node; common those of
-    a heavy element, or that may have one.
+def _met(limit: int):
+    """Of each range of elements, the rows of those that two nodes have at least, with `heavy` told."""
+
+    def met(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        element, node, at, heavy = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        order = np.argsort(element, kind="stable")
+        element, node, at, heavy = element[order], node[order], at[order], heavy[order]
+        starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+        counts = np.diff(np.concatenate((starts, [len(element)])))
+        keep = np.flatnonzero(np.repeat((counts > 1) | np.logical_or.reduceat(heavy, starts), counts))
+        element, node, at, heavy = element[keep], node[keep], at[keep], heavy[keep]
+        order = np.lexsort((node, element))  # equal sets of several tasks are one node
+        element, node, at, heavy = element[order], node[order], at[order], heavy[order]
+        if not len(element):
+            return
+        first = np.concatenate(([True], (element[1:] != element[:-1]) | (node[1:] != node[:-1])))
+        starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+        marked = np.repeat(np.logical_or.reduceat(heavy, starts), np.diff(np.concatenate((starts, [len(element)]))))
+        element, node, at, marked = element[first], node[first], at[first], marked[first]
+        starts = np.flatnonzero(np.concatenate(([True], element[1:] != element[:-1])))
+        counts = np.diff(np.concatenate((starts, [len(element)])))
+        heavy = np.repeat(counts > limit, counts) | marked
+        keep = np.flatnonzero(np.repeat(counts > 1, counts) | marked)
+        for lo in range(0, len(keep), 100_000):
+            k = keep[lo : lo + 100_000]
+            yield pa.record_batch({"element": pa.array(element[k].view(np.int64)), "node": pa.array(node[k]), "at": pa.array(at[k]), "heavy": pa.array(heavy[k])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, held = None, []
+        for b in batches:
+            for k, data in zip(b["to"].to_pylist(), b["data"], strict=True):
+                if k != to and held:
+                    yield from met(held)
+                    held = []
+                to = k
+                held.append(_unpack(data.as_py()))
+        if held:
+            yield from met(held)
+
+    return run
+
+
+def _tiles(percent: int, whole: bool):
+    """From a node's rows, in order of position, its tiles: (element, plain, common, node, n, pos, dense).
+
+    plain tells the tiles in plain hash order, which show who has to do with a dense node; there are
+    none where nodes have offered all their elements. pos is the element's place in the order, and
+    common tells tiles of a heavy element, or that may have one.
     """
 
-    def rows(node: int, at: np.ndarray, element: np.ndarray, heavy: np.ndarray):
+    def rows(at: np.ndarray, element: np.ndarray, heavy: np.ndarray):
         n = int(at[0] >> 32)
         position = at & 0xFFFFFFFF
-        need, offered = first_elements(n, percent), _offered(n, percent)
+        need, offered = first_elements(n, percent), n if whole else _offered(n, percent)
         light = offered - int(heavy.sum())
         dense = light < need and offered < n
-        plain = position < need
-        yield element[plain], True, True, dense
+        if not whole:
+            yield element[position < need], position[position < need], True, True, dense
         if dense:
             return
-        if light >= need:
-            # of the first c + 1 offered elements, c + 1 - (heavy ones) aren't heavy
-            where = position[heavy]
-            c = need - 1
-            for w in where:
-                if w > c:
-                    break
-                c += 1
-            yield element[~heavy & (position <= c)], False, False, False
-        else:
-            yield element[~heavy], False, False, False
-            yield element[heavy][: need - light], False, True, False
+        place = position - np.cumsum(heavy) + heavy  # among those that aren't heavy
+        own = ~heavy & (place < need)
+        yield element[own], place[own], False, False, False
+        if light < need:
+            own = np.flatnonzero(heavy)[: need - light]
+            yield element[own], light + np.arange(len(own)), False, True, False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches, "node"):
@@ -269,13 +293,13 @@ def _tiles(percent: int):
             out: list[tuple] = []
             for a, z in zip(starts, [*starts[1:], len(node)], strict=True):
                 at_, first = np.unique(at[a:z], return_index=True)
-                for e, plain, common, dense in rows(int(node[a]), at_, element[a:z][first], heavy[a:z][first]):
+                for e, pos, plain, common, dense in rows(at_, element[a:z][first], heavy[a:z][first]):
                     if len(e):
-                        out.append((e, plain, common, dense, int(node[a]), int(at[a] >> 32)))
+                        out.append((e, plain, common, dense, int(node[a]), int(at[a] >> 32), pos))
             if out:
                 k = [len(x[0]) for x in out]
                 column = lambda c, kind: pa.array(np.repeat(np.array([x[c] for x in out], kind), k))
-                yield pa.record_batch({"element": pa.array(np.concatenate([x[0] for x in out])), "plain": column(1, bool), "common": column(2, bool), "node": column(4, np.int64), "n": column(5, np.int32), "dense": column(3, bool)})
+                yield pa.record_batch({"element": pa.array(np.concatenate([x[0] for x in out])), "plain": column(1, bool), "common": column(2, bool), "node": column(4, np.int64), "n": column(5, np.int32), "pos": pa.array(np.concatenate([x[6] for x in out]).astype(np.int32)), "dense": column(3, bool)})
 
     return run
 
@@ -325,8 +349,20 @@ def _may_link(percent: int):
     return run
 
 
+def _within(n, m, pos_n, pos_m, percent: int):
+    """Whether sets of n and m may link if their first common element has these places."""
+    least = least_overlap(n, m, percent)
+    return (n - pos_n >= least) & (m - pos_m >= least)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs, the lesser node first."""
+    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+    return pa.record_batch({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+
+
 def _paired(percent: int):
-    """Of small tiles, the pairs within the size band whose components differ (and one of which is dense, in plain tiles)."""
+    """Of small tiles, the pairs that may link by size and place, and whose components differ (and one of which is dense, in plain tiles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches, "tile"):
@@ -335,12 +371,10 @@ def _paired(percent: int):
             later = ends - np.arange(len(tile)) - 1
             a = np.repeat(np.arange(len(tile)), later)
             z = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later) - later, later)
-            n, node, component = (np.asarray(b[c]).astype(np.int64) for c in ("n", "node", "component"))
+            n, pos, node, component = (np.asarray(b[c]).astype(np.int64) for c in ("n", "pos", "node", "component"))
             plain, dense, visitor = (np.asarray(b[c].cast(pa.int8())) > 0 for c in ("plain", "dense", "visitor"))
-            small, large = np.minimum(n[a], n[z]), np.maximum(n[a], n[z])
-            fit = (100 * small >= percent * large) & (component[a] != component[z]) & (~plain[a] | dense[a] | dense[z]) & ~(visitor[a] & visitor[z])
-            pairs = np.unique(np.stack((np.minimum(node[a[fit]], node[z[fit]]), np.maximum(node[a[fit]], node[z[fit]])), 1), axis=0)
-            yield pa.record_batch({"a": pa.array(np.ascontiguousarray(pairs[:, 0])), "b": pa.array(np.ascontiguousarray(pairs[:, 1]))})
+            fit = _within(n[a], n[z], pos[a], pos[z], percent) & (component[a] != component[z]) & (~plain[a] | dense[a] | dense[z]) & ~(visitor[a] & visitor[z])
+            yield _pairs(node[a[fit]], node[z[fit]])
 
     return run
 
@@ -361,11 +395,11 @@ def _linked(percent: int):
 def _compared(percent: int):
     """Of tiles (rows with element, plain, i, j sorted together), the pairs of different components whose bitmaps allow a link."""
 
-    def tile(b: pa.RecordBatch):
+    def tile(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = np.asarray(b["n"]).astype(np.int64)
         order = np.argsort(n, kind="stable")
         n = n[order]
-        node, comp, dense, block, visitor = (np.asarray(b[c].cast(pa.int64()))[order] for c in ("node", "component", "dense", "block", "visitor"))
+        pos, node, comp, dense, block, visitor = (np.asarray(b[c].cast(pa.int64()))[order] for c in ("pos", "node", "component", "dense", "block", "visitor"))
         lists = [np.asarray(b["bits"][int(k)].values).view(np.uint64) for k in order]
         plain, i, j = b["plain"][0].as_py(), b["i"][0].as_py(), b["j"][0].as_py()
         widths = np.array([len(x) for x in lists])
@@ -378,7 +412,7 @@ def _compared(percent: int):
             if end <= k + 1:
                 continue
             s = slice(k + 1, end)
-            fit = (comp[s] != comp[k]) & (visitor[s] * visitor[k] == 0)
+            fit = (comp[s] != comp[k]) & (visitor[s] * visitor[k] == 0) & _within(n[k], n[s], pos[k], pos[s], percent)
             if plain:
                 fit &= (dense[s] | dense[k]) > 0
             if i != j:
@@ -387,19 +421,15 @@ def _compared(percent: int):
             if len(at):
                 table, first = tables[int(widths[k])]
                 at = at[_bound(n[k], n[at], lists[k], table[at - first]) >= least_overlap(n[k], n[at], percent)]
-                for m in at:
-                    yield min(node[k], node[m]), max(node[k], node[m])
+                yield np.full(len(at), node[k]), node[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole(batches, "tile"):
             ids = np.asarray(b["tile"])
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            found: set[tuple[int, int]] = set()
-            for a, z in zip(starts, [*starts[1:], len(ids)], strict=True):
-                found.update(tile(b.slice(a, z - a)))
+            found = [x for a, z in zip(starts, [*starts[1:], len(ids)], strict=True) for x in tile(b.slice(a, z - a))]
             if found:
-                pairs = np.array(sorted(found), np.int64)
-                yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
@@ -410,28 +440,61 @@ class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str, words: int, percent: int):
         self.words, self.percent, self.spark = words, percent, docs.sparkSession
         self.step = 1.0001 * math.log(100 / percent)
-        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-        self.features = written(self.docs.mapInArrow(_features(words), "key long, n int, node long, digest binary, bits array<long>"), "features")
-        self.nodes = written(self.features.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), (F.min("digest") != F.max("digest")).alias("mixed")), "nodes")
-        if not self.nodes.where("mixed").isEmpty():
-            raise ValueError("two different sets have one 64-bit digest")
-
-    def tiles(self) -> DataFrame:
-        """Tiles of two nodes at least, plain ones only with a dense one: element, plain, cell, node, n, dense, visitor.
+        self.names = Names(NAME_BYTES, {})
+        while True:
+            self.features = written(self.docs.mapInArrow(_features(words, self.names), "key long, n int, node long, digest binary, bits array<long>"), "features")
+            digests = self.features.where("n > 0").groupBy("node").agg(F.min("key").alias("first"), F.max("n").alias("n"), F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+            self.nodes = written(digests, "nodes")
+            mixed = self.nodes.where("lo <> hi").select("node")
+            if mixed.isEmpty():
+                break
+            twice = self.features.join(mixed, "node", "left_semi").select("digest").distinct().collect()
+            self.names = Names(NAME_BYTES, self.names.again | {bytes(r[0]): self.names.again.get(bytes(r[0]), 0) + 1 for r in twice})
+            forget(self.features, self.nodes)
+        self.parts = self._parts(self.nodes.agg(F.sum("n")).first()[0] or 0)
+
+    def _parts(self, rows: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+    def _tiled(self, docs: DataFrame, whole: bool) -> DataFrame:
+        """The tiles of `docs`, of which each node offers all its elements or enough first ones; written."""
+        ranges = self.parts * 8
+        rows = docs.mapInArrow(_elements(self.words, self.names, self.percent, whole, ranges, HEAVY), "to int, data binary")
+        met = written(rows.repartition(self.parts, "to").sortWithinPartitions("to").mapInArrow(_met(HEAVY), "element long, node long, at long, heavy boolean"), "elements")
+        rows = met.repartition(self.parts, "node").sortWithinPartitions("node", "at").mapInArrow(_tiles(self.percent, whole), "element long, plain boolean, common boolean, node long, n int, pos int, dense boolean")
+        tiles = written(rows, "tiles")
+        forget(met)
+        return tiles
+
+    def _celled(self, tiles: DataFrame) -> DataFrame:
+        """Tiles of two nodes at least, plain ones only with a dense one: element, plain, cell, node, n, pos, dense, visitor.
 
         Common elements have a tile for each size band (its cell), which the band below visits.
         """
-        rows = self.docs.mapInArrow(_elements(self.words, self.percent, self.parts * 8), "to int, data binary")
-        rows = rows.repartition(self.parts, "to").mapInArrow(_met, "element long, node long, at long, heavy boolean")
-        rows = written(rows, "elements").repartition(self.parts, "node").sortWithinPartitions("node", "at")
-        tiles = written(rows.mapInArrow(_tiles(self.percent), "element long, plain boolean, common boolean, node long, n int, dense boolean"), "tiles")
         band = F.floor(F.log("n") / self.step).cast("int")
         cell = lambda c, v: F.struct(c.alias("cell"), F.lit(v).alias("visitor"))
         cells = F.when(F.col("common"), F.array(cell(band, False), cell(band + 1, True))).otherwise(F.array(cell(F.lit(-1), False)))
-        tiles = tiles.select("*", F.explode(cells).alias("_c")).select("element", "plain", "node", "n", "dense", "_c.cell", "_c.visitor")
+        tiles = tiles.select("*", F.explode(cells).alias("_c")).select("element", "plain", "node", "n", "pos", "dense", "_c.cell", "_c.visitor")
         useful = tiles.groupBy(*TILE).agg(F.count("*").alias("rows"), F.max("dense").alias("any"), F.min("visitor").alias("away")).where("rows > 1 and not away and (any or not plain)")
-        return tiles.join(useful.select(*TILE), TILE)
+        return tiles.join(useful.select(*TILE, "rows"), TILE)
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """The rows of `docs` that were first to have one of the nodes (node)."""
+        own = self.nodes.join(nodes, "node", "left_semi").select(F.col("first").alias("_first"))
+        own = written(own.distinct(), "members")
+        own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+        return self.docs.join(own, F.col("key").eqNullSafe(F.col("_first")), "left_semi")
+
+    def tiles(self) -> DataFrame:
+        """All tiles: those of nodes that aren't dense, and plain ones of dense nodes and whoever may link with them."""
+        first = self._tiled(self.docs, False)
+        close = written(self._celled(first.where("plain")).groupBy("node").agg(F.max("dense").alias("dense")), "close")
+        tiles = self._celled(first.where("not plain"))
+        if not close.isEmpty():
+            again = self._tiled(self.texts(close.select("node")), True)
+            tiles = tiles.unionByName(self._celled(again.drop("dense", "plain").join(close, "node").withColumn("plain", F.lit(True))))
+        return tiles
 
     def bounded(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
         """The pairs (a, b) that may link by their bitmaps."""
@@ -440,16 +503,17 @@ class _Join:
         return pairs.mapInArrow(_may_link(self.percent), "a long, b long")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by their elements, which are made anew from the texts of these pairs alone."""
+        """The pairs (a, b) that link, by their elements, which are made anew from the texts of these pairs alone; written."""
         pairs = written(pairs, "pairs")
-        own = self.nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.col("first").alias("_first"), F.col("node").alias("_node"))
-        own = written(own, "members")
-        own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
-        sets = self.docs.join(own.select("_first").distinct(), F.col("key").eqNullSafe(F.col("_first")), "left_semi").mapInArrow(_sets(self.words), "key long, node long, elements array<long>")
-        sets = written(sets.join(own, (F.col("node") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_first")), "left_semi").drop("key"), "sets")
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "members")
+        sets = self.texts(nodes).mapInArrow(_sets(self.words, self.names), "key long, node long, elements array<long>")
+        sets = written(sets.drop("key").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+        both = pairs
         for end in ("a", "b"):
-            pairs = pairs.join(sets.withColumnsRenamed({"node": end, "elements": f"set_{end}"}), end)
-        return pairs.mapInArrow(_linked(self.percent), "a long, b long").distinct()
+            both = both.join(sets.withColumnsRenamed({"node": end, "elements": f"set_{end}"}), end)
+        links = written(both.mapInArrow(_linked(self.percent), "a long, b long").distinct(), "links")
+        forget(pairs, nodes, sets)
+        return links
 
     def joined(self, label: DataFrame, links: DataFrame) -> DataFrame:
         """Labels after each component took the name of one that its nodes' leaders have, and that one's new name.
@@ -465,9 +529,10 @@ class _Join:
     def tiled(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The tiles, and of their nodes the signatures (node, n, bits) and first labels, each node its own component."""
         tiles = written(self.tiles(), "tiles")
-        own = self.nodes.select("node", F.col("first").alias("_first")).join(tiles.select("node").distinct(), "node", "left_semi")
-        signatures = written(self.features.join(own, ["node"], "inner").where(F.col("key").eqNullSafe(F.col("_first"))).select("node", "n", "bits"), "signatures")
-        return tiles, signatures, written(signatures.select("node", F.col("node").alias("component")).distinct(), "labels")
+        own = self.nodes.select("node", F.col("first").alias("_first")).join(tiles.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
+        signatures = self.features.join(own, (F.col("node") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_first"))).select("node", "n", "bits")
+        signatures = written(signatures.dropDuplicates(["node"]), "signatures")
+        return tiles, signatures, written(signatures.select("node", F.col("node").alias("component")), "labels")
 
     def links(self) -> DataFrame:
         """Every link (a, b) of two different nodes, once: what is compared in full is all that shares a tile."""
@@ -478,30 +543,35 @@ class _Join:
         tiles, signatures, label = self.tiled()
         links = self.spark.createDataFrame([], "a long, b long")
         tile = [*TILE, "band"]
-        for turn in range(LEADERS):
-            rows = tiles.join(label, "node").withColumn("band", F.when(F.col("cell") < 0, F.floor(F.log("n") / self.step + turn % 2 / 2)).otherwise(-1).cast("int"))
-            own = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")
+        large = written(tiles.where(F.col("rows") >= LED).drop("rows"), "large-tiles")
+        for turn in range(0 if large.isEmpty() else LEADERS):
+            rows = large.join(label, "node").withColumn("band", F.when(F.col("cell") < 0, F.floor(F.log("n") / self.step + turn % 2 / 2)).otherwise(-1).cast("int"))
+            place = F.lit(0) if turn % 2 else F.col("pos")  # the node with the least beside what its group shares
+            own = F.struct(place.alias("place"), F.xxhash64("node", F.lit(turn)).alias("by"), "node", "component")
             led = rows.groupBy(*tile).agg(F.min(own).alias("leader"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
             pairs = rows.join(led, tile).where("component <> leader.component")
             pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
-            new = written(self.verified(self.bounded(pairs, signatures)), "links")
+            new = self.verified(self.bounded(pairs, signatures))
             links, label = links.unionByName(new), self.joined(label, new)
         return components(written(links.unionByName(self.apart(tiles, signatures, label)), "links"))
 
     def apart(self, tiles: DataFrame, signatures: DataFrame, label: DataFrame) -> DataFrame:
         """The links (a, b) of nodes that share a tile and whose labels differ."""
-        rest = tiles.join(label, "node")
+        rest = tiles.drop("rows").join(label, "node")
         apart = rest.groupBy(*TILE).agg(F.count("*").alias("rows"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         rest = written(rest.join(apart.select(*TILE, "rows"), TILE).withColumn("tile", F.xxhash64(*TILE)), "apart")
-        few = rest.where(F.col("rows") <= HEAVY).select("tile", "plain", "node", "component", "n", "dense", "visitor").repartition(self.parts, "tile").sortWithinPartitions("tile")
+        columns = ["tile", "plain", "node", "component", "n", "pos", "dense", "visitor"]
+        few = rest.where(F.col("rows") <= HEAVY).select(*columns).repartition(self.parts, "tile").sortWithinPartitions("tile")
         pairs = self.bounded(few.mapInArrow(_paired(self.percent), "a long, b long").distinct(), signatures)
         many = rest.where(F.col("rows") > HEAVY).join(signatures.select("node", "bits"), "node")
         many = many.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         many = many.withColumn("tile", F.xxhash64(*TILE, "i", "j"))
-        many = many.select("tile", "plain", "i", "j", "block", "node", "component", "n", "dense", "visitor", "bits").repartition(self.parts, "tile").sortWithinPartitions("tile")
+        many = many.select(*columns, "i", "j", "block", "bits").repartition(self.parts, "tile").sortWithinPartitions("tile")
         pairs = pairs.unionByName(many.mapInArrow(_compared(self.percent), "a long, b long")).distinct()
-        return self.verified(pairs)
+        links = self.verified(pairs)
+        forget(rest)
+        return links
 
 
 def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

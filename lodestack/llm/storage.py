@@ -5,13 +5,18 @@ Everything goes through Spark's writers or `pyarrow.fs`, so the folder may be an
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -29,7 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave, once all that was made from them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -37,11 +51,25 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def put_file(uri: str, write) -> None:
-    """Write a file under a name of its own, then rename: readers see all of it or nothing, and a retried task replaces it."""
+@contextlib.contextmanager
+def new_file(uri: str):
+    """A stream to a file under a name of its own, renamed at the end: readers see all of it or nothing, and a retried task replaces it."""
     files, path = file_system(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with files.open_output_stream(part) as out:
-        write(out)
+        yield out
     files.move(part, path)
+
+
+def put_file(uri: str, write) -> None:
+    """`new_file`, with what `write` writes."""
+    with new_file(uri) as out:
+        write(out)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that what is made of a batch stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

@@ -65,6 +65,30 @@ def test_against_all_pairs(spark, monkeypatch, seed, heavy, block):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
 
 
+def test_a_large_group_that_misses_the_threshold_by_a_little(spark, monkeypatch):
+    """300 near copies of one text, most pairs of which just don't link, and whole copies of some."""
+    monkeypatch.setattr(j, "HEAVY", 16)
+    r = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        for _ in range(r.choice([1, 3, 5, 6, 7])):
+            own[r.randrange(len(own))] = f"e{r.randint(0, 10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 300, 7)]
+    got = j.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
+def test_sets_whose_names_collide(spark, monkeypatch):
+    monkeypatch.setattr(j, "NAME_BYTES", 2)
+    rows = [(k, f"{k} one two three four five six") for k in range(600)] + [(600, "7 one two three four five six")]
+    got = j.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    assert {r["component_id"] for r in got.where("doc_id in (7, 600)").collect()} == {7}
+
+
 def test_odd_rows(odd, none):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     assert sorted(map(tuple, j.jaccard_join(odd).collect()), key=repr) == brute(rows)
