@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mphf
-from .storage import file_system, put_file, shared_dir, written
-from .words import PIECE, WHITE, groups, mix, prefix_sums, span_hash, utf8
+from .storage import file_system, new_file, parts, put_file, shared_dir, written
+from .words import PIECE, WHITE, groups, mix, utf8
 
-MAGIC, END_ID, PART_KEYS, CACHE = b"LODEIDS1", 2, 20_000, 1_500_000
+MAGIC, END_ID, PART_KEYS, SLOTS, PACK, SHARD_BYTES = b"LODEIDS1", 2, 20_000, 1 << 19, 4000, 64 << 20
 NO_KEY = -1 << 63
-RAW_VALUES = np.random.default_rng(11).integers(1, 1 << 64, 256, np.uint64, endpoint=False)
+MASKS = np.zeros((25, 24), np.uint8)
+MASKS[np.arange(24) < np.arange(25)[:, None]] = 0xFF
+MASKS = MASKS.view(np.uint64)
+"""For each number of bytes, three words that keep so many first ones."""
 GRAPHIC = np.zeros(256, bool)
 GRAPHIC[0x21:0x7F] = True
 LETTER = np.zeros(256, bool)
@@ -65,61 +68,119 @@ def chunk_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes whole Arrow columns; ids of chunks met before are kept, as words repeat."""
+    """Encodes whole Arrow columns; ids of short chunks met before are kept, as words repeat.
 
-    def __init__(self, path: str):
+    What is kept is a table of `SLOTS` chunks of at most 24 bytes and 8 ids, some 30 MB in all. A
+    chunk has one slot, in which it replaces whatever was there, and is found by all its bytes.
+    """
+
+    def __init__(self, path: str, slots: int = SLOTS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side as it is
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.length, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        n = len(self.known)
-        while len(self.start) < n + len(found):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[n : n + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(found)] = lengths
-        self.used += len(flat)
-        self.known.update(zip(hashes, range(n, n + len(found)), strict=True))
+        own = json.loads(self.tokenizer.to_str())
+        split = own["pre_tokenizer"] or {}
+        self.cuts = own["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        """Whether this tokenizer splits texts by the pattern that `chunk_starts` knows; else texts are encoded whole."""
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items() if self.cuts else ():
+            self.bytes[i] = len(token)  # a character stands for a byte
+        self.slots = slots
+        self.key, self.size = np.zeros((slots, 3), np.uint64), np.zeros(slots, np.uint8)
+        self.kept, self.n_kept = np.zeros((slots, 8), np.uint32), np.zeros(slots, np.uint8)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text) by the tokenizer itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _packed(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk) of short chunks, many at a time.
+
+        Chunks that begin with a space are encoded as one text, in which each begins where texts may
+        be cut; whose ids are whose then follows from the bytes that ids stand for.
+        """
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        good = np.fromiter((c[0] == 0x20 for c in chunks), bool, len(chunks))
+        at = np.flatnonzero(good)
+        data = np.frombuffer(b"".join(chunks[k] for k in at) + b" ", np.uint8)
+        good[at] = np.isin(np.cumsum(sizes[at]), chunk_starts(data, np.zeros(1, np.int64)))
+        at, rest = np.flatnonzero(good), np.flatnonzero(~good)
+        counts, found = np.zeros(len(chunks), np.int64), []
+        for lo in range(0, len(at), PACK):
+            own = at[lo : lo + PACK]
+            ids, _ = self._plain([b"".join(chunks[k] for k in own).decode()])
+            ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(sizes[own]))
+            counts[own] = np.diff(ends, prepend=-1)
+            found.append(ids)
+        more, counts[rest] = self._plain([chunks[k].decode() for k in rest])
+        out, first = np.empty(int(counts.sum()), np.uint32), np.repeat(good, counts)
+        out[first], out[~first] = np.concatenate(found) if found else np.zeros(0, np.uint32), more
+        return out, counts
+
+    def _short(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk) of chunks of 1 to 24 bytes."""
+        padded = np.concatenate((data, np.zeros(24, np.uint8)))
+        key = np.lib.stride_tricks.sliding_window_view(padded, 24)[starts].view(np.uint64)
+        key &= MASKS[sizes]
+        slot = (mix(key[:, 0] + mix(key[:, 1] + mix(key[:, 2] + sizes.astype(np.uint64)))) % np.uint64(self.slots)).astype(np.int64)
+        hit = (self.size[slot] == sizes) & (self.key[slot] == key).all(1)
+        lengths = np.where(hit, self.n_kept[slot], 0).astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        if not len(missed):
+            return self._gathered(slot, lengths, int(lengths.sum())), lengths
+        whole = np.concatenate((key[missed], sizes[missed, None].astype(np.uint64)), 1)
+        _, first, own = np.unique(np.ascontiguousarray(whole).view("V32").ravel(), return_index=True, return_inverse=True)
+        where = missed[first]
+        chunks = [data[a : a + n].tobytes() for a, n in zip(starts[where].tolist(), sizes[where].tolist(), strict=True)]
+        ids, counts = self._packed(chunks) if self.cuts else self._plain([c.decode() for c in chunks])
+        before = np.cumsum(counts) - counts
+        lengths[missed] = counts[own]
+        out = np.empty(int(lengths.sum()), np.uint32)
+        of_hit = np.repeat(hit, lengths)
+        out[of_hit] = self._gathered(slot[hit], lengths[hit], int(lengths[hit].sum()))
+        n = lengths[missed]
+        out[~of_hit] = ids[np.repeat(before[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        keep = np.flatnonzero(counts <= 8)
+        place, last = np.unique(slot[where[keep]][::-1], return_index=True)  # one of those that share a slot
+        keep = keep[::-1][last]
+        self.key[place], self.size[place], self.n_kept[place] = key[where[keep]], sizes[where[keep]], counts[keep]
+        at = before[keep, None] + np.arange(8)
+        self.kept[place] = ids[np.minimum(at, len(ids) - 1)] if len(ids) else 0
+        return out, lengths
+
+    def _gathered(self, slot: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
+        return self.kept.ravel()[np.repeat(slot * 8 - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)]
 
     def _encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each chunk) of chunks of at most a piece together, or one longer chunk."""
-        if len(starts) == 1 and len(data) > PIECE:
-            ids = np.array(self.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
-            return ids, np.array([len(ids)])
-        if len(self.known) > CACHE:
-            self._clear()
-        hashes = span_hash(prefix_sums(data, RAW_VALUES), starts, ends)
-        numbers = hashes.tolist()
-        at = np.fromiter(map(self.known.get, numbers, repeat(-1)), np.int64, len(numbers))
-        if (at < 0).any():
-            missing = np.flatnonzero(at < 0)
-            new, first = np.unique(hashes[missing], return_index=True)
-            where = missing[first]
-            self._learn(new.tolist(), [data[a:b].tobytes().decode() for a, b in zip(starts[where], ends[where], strict=True)])
-            at[missing] = np.fromiter(map(self.known.get, hashes[missing].tolist()), np.int64, len(missing))
-        lengths = self.length[at]
-        total = np.cumsum(lengths)
-        return self.ids[np.repeat(self.start[at] - (total - lengths), lengths) + np.arange(int(total[-1]))], lengths
+        """(ids, number of ids of each chunk) of the chunks, in order."""
+        sizes = ends - starts
+        short = sizes <= 24
+        ids, lengths = self._short(data, starts[short], sizes[short])
+        if short.all():
+            return ids, lengths
+        long_ids, long_lengths = self._plain([data[a:z].tobytes().decode() for a, z in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True)])
+        counts = np.empty(len(starts), np.int64)
+        counts[short], counts[~short] = lengths, long_lengths
+        out, of_short = np.empty(int(counts.sum()), np.uint32), np.repeat(short, counts)
+        out[of_short], out[~of_short] = ids, long_ids
+        return out, counts
 
     def column(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For runs of texts i..j: (i, j, ids, number of ids of each text), end ids included."""
         data, at = utf8(texts)
         for i, j in groups(at):
             block, own = data[at[i] : at[j]], at[i : j + 1] - at[i]
-            starts = chunk_starts(block, own[:-1])
+            starts = chunk_starts(block, own[:-1]) if self.cuts else np.unique(own[:-1][own[:-1] < len(block)])
+            if self.cuts and self.marks:  # a text with an added token's string is one chunk
+                raw = block.tobytes()
+                if any(m in raw for m in self.marks):
+                    uncut = np.array([any(m in raw[a:z] for m in self.marks) for a, z in zip(own.tolist(), own[1:].tolist(), strict=False)])
+                    of = np.searchsorted(own, starts, "right") - 1
+                    starts = starts[~uncut[of] | (starts == own[of])]
             ends = np.concatenate((starts[1:], [len(block)])) if len(starts) else starts
             parts, counts, k = [], [], 0
             while k < len(starts):
@@ -144,28 +205,26 @@ def encoder(path: str) -> Encoder:
 
 
 def _write_shard(path: str, tokenizer: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, rows, total, last, ordinal = encoder(tokenizer), TaskContext.get().partitionId(), [], 0, None, -1
+    """Writes a partition's texts, in order, as one shard, and yields their places as it goes."""
 
-        def write(out) -> None:
-            nonlocal total, last, ordinal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shard, rows, total, last, ordinal = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, None, -1
+        with new_file(f"{path}/shard-{shard:05}.ids") as out:
             out.write(MAGIC + own.width.to_bytes(8, "little"))
-            for b in batches:
-                keys = b["key"].to_pylist()
-                for i, j, ids, counts in own.column(b["text"], end_id):
+            for b in parts(batches):
+                offsets, lengths = [], []
+                for _, _, ids, counts in own.column(b["text"], end_id):
                     out.write(ids.astype(f"<u{own.width}").tobytes())
-                    ordinals = []
-                    for k in keys[i:j]:
-                        last, ordinal = k, ordinal + 1 if k == last else 0
-                        ordinals.append(ordinal)
-                    ends = total + np.cumsum(counts)
-                    rows.append((keys[i:j], ordinals, ends - counts, counts))
-                    total = int(ends[-1])
-            out.write(sum(len(r[0]) for r in rows).to_bytes(8, "little") + total.to_bytes(8, "little") + MAGIC)
-
-        put_file(f"{path}/shard-{shard:05}.ids", write)
-        for keys, ordinals, offsets, counts in rows:
-            yield pa.record_batch({"key": pa.array(keys, pa.int64()), "shard": pa.array([shard] * len(keys), pa.int32()), "ordinal": pa.array(ordinals, pa.int64()), "offset": pa.array(offsets, pa.int64()), "n_ids": pa.array(counts, pa.int64())})
+                    lengths.append(counts)
+                    offsets.append(total + np.cumsum(counts) - counts)
+                    total += len(ids)
+                ordinals = []
+                for k in b["key"].to_pylist():
+                    last, ordinal = k, ordinal + 1 if k == last else 0
+                    ordinals.append(ordinal)
+                rows += b.num_rows
+                yield pa.record_batch({"key": b["key"], "shard": pa.array(np.full(b.num_rows, shard, np.int32)), "ordinal": pa.array(ordinals, pa.int64()), "offset": pa.array(np.concatenate(offsets)), "n_ids": pa.array(np.concatenate(lengths))})
+            out.write(rows.to_bytes(8, "little") + total.to_bytes(8, "little") + MAGIC)
 
     return run
 
@@ -194,8 +253,8 @@ def _write_index(path: str):
     return run
 
 
-def _part(parts: int):
-    return F.pmod(F.xxhash64("key", "ordinal"), F.lit(parts)).cast("int").alias("part")
+def _part(n: int):
+    return F.pmod(F.xxhash64("key", "ordinal"), F.lit(n)).cast("int").alias("part")
 
 
 def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, shards: int | None = None) -> DataFrame:
@@ -203,11 +262,15 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     A null text counts as empty, so its document has the end id alone; a null key sorts first. Rows
     that repeat a key are told apart by `ordinal`, 0 and up in the order of their texts' hashes.
-    Special tokens' strings in a text are ordinary text. An empty table gives a folder without keys.
+    A special token's string in a text gives that token, as the library does by default. By default
+    there are as many shards as the session has shuffle partitions, more where texts are longer than
+    `SHARD_BYTES` for each. An empty table gives a folder without keys.
     """
     spark = df.sparkSession
+    if not shards:
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES))
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
+    rows = rows.repartitionByRange(shards, "key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
     places = written(rows.mapInArrow(_write_shard(path, tokenizer, end_id), "key long, shard int, ordinal long, offset long, n_ids long"), "token-places")
     own = places.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("rows"), F.min("key").alias("first"), F.max(F.struct("key", "ordinal")).alias("last")).orderBy("shard").collect()
     carried, last, upto = {}, None, 0
@@ -219,9 +282,9 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
         firsts = {r["shard"]: r["first"] for r in own}
         more = F.coalesce(*(F.when((F.col("shard") == s) & (F.col("key") == firsts[s]), F.lit(n)) for s, n in over.items()), F.lit(0))
         places = places.withColumn("ordinal", F.col("ordinal") + more)
-    parts = max(1, -(-sum(r["rows"] for r in own) // PART_KEYS))
-    places.select("*", _part(parts)).groupBy("part").applyInArrow(_write_index(path), "part int, keys long").write.parquet(shared_dir(spark, "token-parts"))
-    layout = {"parts": parts, "shards": {str(r["shard"]): r["n_ids"] for r in own}}
+    n_parts = max(1, -(-sum(r["rows"] for r in own) // PART_KEYS))
+    places.select("*", _part(n_parts)).groupBy("part").applyInArrow(_write_index(path), "part int, keys long").write.parquet(shared_dir(spark, "token-parts"))
+    layout = {"parts": n_parts, "shards": {str(r["shard"]): r["n_ids"] for r in own}}
     put_file(f"{path}/layout.json", lambda f: f.write(json.dumps(layout).encode()))
     return places.select("key", "ordinal")
 
@@ -248,14 +311,13 @@ def _look_up(path: str):
     return run
 
 
-def _read_shards(path: str, starts: dict[int, int]):
+def _read_shards(path: str, starts: dict[int, int], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = file_system(path)
         shard, source, width = None, None, 0
-        for b in batches:
-            cols = [b[c].to_pylist() for c in ("key", "ordinal", "shard", "offset", "n_ids")]
+        for b in parts(batches):
             ids, first, crc = [], [], []
-            for _, _, s, offset, n in zip(*cols, strict=True):
+            for s, offset, n in zip(*(b[c].to_pylist() for c in ("shard", "offset", "n_ids")), strict=True):
                 if s != shard:
                     if source:
                         source.close()
@@ -267,10 +329,12 @@ def _read_shards(path: str, starts: dict[int, int]):
                 values = np.frombuffer(source.read_at(n * width, 16 + offset * width), f"<u{width}").astype("<u4")
                 if len(values) != n:
                     raise ValueError(f"shard {s} ends before id {offset + n}")
-                ids.append(values)
-                crc.append(zlib.crc32(values.tobytes()))
+                crc.append(zlib.crc32(values))
                 first.append(starts[s] + offset)
-            yield pa.record_batch({"key": b["key"], "ordinal": b["ordinal"], "start": pa.array(first, pa.int64()), "n_tokens": b["n_ids"], "ids_crc32": pa.array(crc, pa.int64()), "ids": pa.array(ids, pa.list_(pa.uint32())).cast(pa.list_(pa.int64()))})
+                if with_ids:
+                    ids.append(values.astype(np.int64))
+            out = {"key": b["key"], "ordinal": b["ordinal"], "start": pa.array(first, pa.int64()), "n_tokens": b["n_ids"], "ids_crc32": pa.array(crc, pa.int64())}
+            yield pa.record_batch(out | ({"ids": pa.array(ids, pa.list_(pa.int64()))} if with_ids else {}))
 
     return run
 
@@ -290,9 +354,8 @@ def read_tokens(keys: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     rows = keys.select(F.coalesce(F.col("key").cast("long"), F.lit(NO_KEY)).alias("key"), F.col("ordinal").cast("long")).select("*", _part(layout["parts"]))
     rows = rows.groupBy("part").applyInArrow(_look_up(path), "key long, ordinal long, shard int, offset long, n_ids long") if starts else spark.createDataFrame([], "key long, ordinal long, shard int, offset long, n_ids long")
     rows = rows.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
-    out = rows.mapInArrow(_read_shards(path, starts), "key long, ordinal long, start long, n_tokens long, ids_crc32 long, ids array<long>")
-    out = out.withColumn("key", F.nullif("key", F.lit(NO_KEY)))
-    return out if with_ids else out.drop("ids")
+    kind = "key long, ordinal long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
+    return rows.mapInArrow(_read_shards(path, starts, with_ids), kind).withColumn("key", F.nullif("key", F.lit(NO_KEY)))
 
 
 def tokenize(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", path: str | None = None, **options) -> DataFrame:

@@ -16,17 +16,27 @@ PIECES = ["a", "B", "é", "'", "s", " ", "  ", "\n", "\t", " ", " ", "　", "
 @pytest.fixture(scope="module")
 def plain():
     own = Tokenizer.from_file(t.public_tokenizer())
-    own.encode_special_tokens = True
     return lambda x: own.encode(x or "", add_special_tokens=False).ids
 
 
 def test_chunks_give_the_ids_of_whole_texts(plain):
     r = random.Random(5)
-    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["x" * 300_000, "ab cd " * 60_000, None]
-    own, got = t.Encoder(t.public_tokenizer()), []
-    for _, _, ids, counts in own.column(pa.array(texts), 2):
-        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-    assert got == [[*plain(x), 2] for x in texts]
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["x" * 300_000, "ab cd " * 60_000, None, "hello <|endoftext|> world"]
+    texts += [" ".join(r.choice(["antidisestablishment", "zq" * 11, "\x00", "é" * 12, "a", "aa"]) for _ in range(40)) for _ in range(50)]
+    for slots in (t.SLOTS, 8):  # with few slots chunks replace each other all the time
+        own, got = t.Encoder(t.public_tokenizer(), slots), []
+        for column in (texts, texts):
+            for _, _, ids, counts in own.column(pa.array(column), 2):
+                got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [[*plain(x), 2] for x in texts] * 2
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = t.public_tokenizer("word_bpe_49k.json")
+    own, plain = t.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Hello, World  again", None, "", "don't <|endoftext|> stop"]
+    got = [x.tolist() for _, _, ids, counts in own.column(pa.array(texts), 2) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [[*plain.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
 
 
 def test_perfect_hash():
