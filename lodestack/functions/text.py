@@ -41,19 +41,39 @@ def search(files: DataFrame, pattern: str) -> DataFrame:
 
 def find_pattern(files: DataFrame, pattern: str) -> DataFrame:
     """matches(path, nth, text, start, line_number, column): all matches over whole contents, in order; start and column from 0."""
-    found = files.select("path", "content", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("nth", "text"))
-    # the text before the nth match: what stands before it once earlier matches are cut off one after another
-    cuts = F.split("content", pattern, -1)
-    before = F.aggregate(F.slice(cuts, 1, F.col("nth") + 1), F.lit(0), lambda a, x: a + F.length(x))
-    earlier = F.aggregate(F.slice(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), 1, F.col("nth")), F.lit(0), lambda a, x: a + F.length(x))
-    rows = found.withColumn("start", before + earlier)
-    head = F.substring(F.col("content"), F.lit(1), F.col("start"))
-    number = F.size(F.split(head, "\n", -1))
-    return rows.select("path", (F.col("nth") + 1).alias("nth"), "text", "start", number.alias("line_number"), (F.length(F.element_at(F.split(head, "\n", -1), -1))).alias("column"))
-
-
-def replace_pattern(content: Column | str, pattern: str, replacement: str) -> Column:
-    return F.regexp_replace(_col(content), pattern, replacement)
+    rows = files.where(F.col("content").rlike(pattern)).select("path", F.explode(match_places(F.col("content"), pattern)).alias("m"))
+    return rows.select("path", "m.nth", "m.text", "m.start", "m.line_number", "m.column")
+
+
+def match_places(content: Column, pattern: str) -> Column:
+    """The matches of a pattern as an array of (nth, text, start, line_number, column), in one pass.
+
+    What stands between matches is cut once; starts, lines and columns are running sums over it.
+    """
+    parts = F.arrays_zip(F.split(content, pattern, -1).alias("before"), F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("text"))
+    ends = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    after = lambda x, column: F.when(F.contains(x, F.lit("\n")), F.length(F.substring_index(x, "\n", -1))).otherwise(column + F.length(x))
+    kind = "array<struct<nth:int,text:string,start:int,line_number:int,column:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.lit(0).alias("column"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        at, line, column = a["at"] + F.length(p["before"]), a["line"] + ends(p["before"]), after(p["before"], a["column"])
+        here = F.struct((F.size(a["out"]) + 1).alias("nth"), p["text"].alias("text"), at.alias("start"), line.alias("line_number"), column.alias("column"))
+        more = F.struct((at + F.length(p["text"])).alias("at"), (line + ends(p["text"])).alias("line"), after(p["text"], column).alias("column"), F.array_append(a["out"], here).alias("out"))
+        return F.when(p["text"].isNull(), a).otherwise(more)
+
+    return F.aggregate(parts, start, step)["out"]
+
+
+def replace_pattern(content: Column | str, pattern: str, replacement: str, count: int | None = None) -> Column:
+    """All matches replaced, or the first `count`."""
+    out = _col(content)
+    if count is None:
+        return F.regexp_replace(out, pattern, replacement)
+    cuts = F.split(out, pattern, -1)
+    found = F.regexp_extract_all(out, F.lit(pattern), F.lit(0))
+    piece = lambda x, i: F.concat(x, F.when(i >= F.size(found), F.lit("")).when(i < count, F.regexp_replace(F.get(found, i), pattern, replacement)).otherwise(F.get(found, i)))
+    return F.array_join(F.transform(cuts, piece), "")
 
 
 def insert_at_line(content: Column | str, number: int, text: str) -> Column:

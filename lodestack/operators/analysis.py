@@ -149,7 +149,7 @@ def duplicate_literals(facts: Facts, least: int = 3) -> DataFrame:
 
 
 def similar_functions(facts: Facts) -> DataFrame:
-    rows = facts.functions.where("body_hash is not null").select("path", F.col("body_hash").alias("norm_hash"), "start_line", "end_line", F.col("full_name").alias("context"), F.col("full_name").alias("source"))
+    rows = facts.bodies.where("body_hash is not null").select("path", F.col("body_hash").alias("norm_hash"), "start_line", "end_line", F.col("full_name").alias("context"), F.col("full_name").alias("source"))
     return duplicate_findings(rows, "SIMILAR_FUNCTION", severity="suggestion")
 
 
@@ -188,12 +188,11 @@ def unused_imports(facts: Facts) -> DataFrame:
 
 
 def missing_imports(facts: Facts) -> DataFrame:
-    """(path, name): names that a file uses and neither imports, defines nor gets from the builtins."""
+    """(path, name): names that a file uses and neither imports, defines, assigns anywhere nor gets from the builtins."""
     known = F.array(*map(F.lit, sorted(BUILTINS | {"self", "cls", "super", "type", "object", "__file__", "__name__", "__doc__"})))
     imported = F.flatten(F.transform("imports", lambda i: F.transform(i["names"], lambda n: F.coalesce(i["aliases"][n], F.when(i["is_from"], n).otherwise(F.substring_index(n, ".", 1))))))
-    defined = F.flatten(F.transform("defs", lambda d: F.array_append(F.transform(d["params"], lambda p: p["name"]), d["name"])))
-    stored = F.transform("assigned", lambda a: a["name"])
-    left = F.array_except(F.array_except(F.array_except(F.array_except("used", imported), defined), stored), known)
+    defined = F.transform("defs", lambda d: d["name"])
+    left = F.array_except(F.array_except(F.array_except(F.array_except("used", imported), defined), F.col("stored")), known)
     return facts.parsed.where("error is null").select("path", F.explode(left).alias("name"))
 
 

@@ -149,8 +149,15 @@ def directive_audit(found: DataFrame) -> DataFrame:
 
 
 def remove_directive(content: Column | str, kind: str, number: int | None = None) -> Column:
-    """A content without a kind of directive, on one line or on all."""
+    """A content without a kind of directive, and the blanks before it, on one line or on all."""
     from ..functions.text import lines_of
 
-    gone = lambda x: F.regexp_replace(F.regexp_replace(x, DIRECTIVES[kind], ""), r"\s+$", "")
+    gone = lambda x: F.regexp_replace(x, r"\s*" + DIRECTIVES[kind], "")
     return F.array_join(F.transform(lines_of(content), lambda x, i: F.when(F.lit(number is None) | (i + 1 == F.lit(number or 0)), F.when(x.rlike(DIRECTIVES[kind]), gone(x)).otherwise(x)).otherwise(x)), "\n")
+
+
+def audit_lines(found: DataFrame, kind: str) -> DataFrame:
+    """(type, part, key, n): a kind of directive counted by file and by code."""
+    own = found.where(F.col("type") == kind)
+    parts = [own.select(F.lit("file").alias("part"), F.col("path").alias("key")), own.select(F.lit("code").alias("part"), F.explode("codes").alias("key"))]
+    return parts[0].unionByName(parts[1]).groupBy("part", "key").agg(F.count("*").alias("n")).select(F.lit(kind).alias("type"), "part", "key", "n")

@@ -22,7 +22,7 @@ IMPORT = "struct<line_number:int,module:string,names:array<string>,aliases:map<s
 LITERAL = "struct<kind:string,value:string,line_number:int,in_call:boolean,constant_target:boolean,is_docstring:boolean>"
 FRAGMENT = "struct<kind:string,norm_hash:string,source:string,start_line:int,end_line:int,context:string,statements:int>"
 LOOP = "struct<pattern:string,suggestion:string,confidence:double,start_line:int,end_line:int>"
-FACTS = f"path string, module string, is_test boolean, error string, docstring string, defs array<{DEF}>, used array<string>, named array<string>, assigned array<struct<name:string,line_number:int>>, imports array<{IMPORT}>, literals array<{LITERAL}>, fragments array<{FRAGMENT}>, loops array<{LOOP}>"
+FACTS = f"path string, module string, is_test boolean, error string, docstring string, defs array<{DEF}>, used array<string>, named array<string>, stored array<string>, assigned array<struct<name:string,line_number:int>>, imports array<{IMPORT}>, literals array<{LITERAL}>, fragments array<{FRAGMENT}>, loops array<{LOOP}>"
 
 _BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -75,7 +75,7 @@ def params_of(args: ast.arguments) -> list[dict]:
 
 
 class _Renamed(ast.NodeTransformer):
-    """Names but builtins as _var0, _var1, ... in the order of appearance."""
+    """Names, of attributes, arguments and definitions too, but builtins as _var0, _var1, ... in the order of appearance."""
 
     def __init__(self):
         self.seen: dict[str, str] = {}
@@ -86,6 +86,20 @@ class _Renamed(ast.NodeTransformer):
     def visit_Name(self, node: ast.Name) -> ast.AST:
         return ast.copy_location(ast.Name(self._name(node.id), node.ctx), node)
 
+    def visit_Attribute(self, node: ast.Attribute) -> ast.AST:
+        value = self.visit(node.value)
+        return ast.copy_location(ast.Attribute(value, self._name(node.attr), node.ctx), node)
+
+    def visit_keyword(self, node: ast.keyword) -> ast.AST:
+        name = node.arg and self._name(node.arg)
+        return ast.copy_location(ast.keyword(name, self.visit(node.value)), node)
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:
+        node.name = self._name(node.name)
+        return self.generic_visit(node)
+
+    visit_AsyncFunctionDef = visit_ClassDef = visit_FunctionDef
+
     def visit_arg(self, node: ast.arg) -> ast.AST:
         return ast.copy_location(ast.arg(self._name(node.arg), None), node)
 
@@ -104,7 +118,7 @@ def after_exit(body: list[ast.stmt]) -> list[int]:
     return []
 
 
-def _def(node: ast.AST, kind: str, scope: list[str], class_name: str | None) -> dict:
+def _def(node: ast.AST, kind: str, scope: list[str], class_name: str | None, hashed: bool = True) -> dict:
     first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
     row = {"kind": kind, "name": node.name, "full_name": ".".join([*scope, node.name]), "class_name": class_name, "start_line": first, "end_line": node.end_lineno, "depth": len(scope), "decorators": [ast.unparse(d) for d in node.decorator_list], "docstring": ast.get_docstring(node, clean=False)}
     if kind == "class":
@@ -114,7 +128,7 @@ def _def(node: ast.AST, kind: str, scope: list[str], class_name: str | None) ->
     inside = list(own_nodes(node))
     body = node.body[1:] if ast.get_docstring(node) is not None else node.body
     return row | {
-        "bases": [], "params": params, "returns": ast.unparse(node.returns) if node.returns else None, "is_async": isinstance(node, ast.AsyncFunctionDef), "body_hash": norm_hash(body) if body else None,
+        "bases": [], "params": params, "returns": ast.unparse(node.returns) if node.returns else None, "is_async": isinstance(node, ast.AsyncFunctionDef), "body_hash": norm_hash(body) if body and hashed else None,
         "cyclomatic": cyclomatic(node), "nesting": nesting(node.body), "branches": sum(isinstance(x, ast.If) for x in inside), "n_returns": sum(isinstance(x, ast.Return) for x in inside), "n_params": len(counted), "unreachable": after_exit(node.body),
     }
 
@@ -161,23 +175,23 @@ def loop_patterns(node: ast.For) -> Iterator[tuple[str, str, float]]:
         yield "LOOP_TO_ZIP", f"for {target}, item in enumerate({ast.unparse(node.iter.args[0])[4:-1]})", 0.7
 
 
-def facts_of(content: str) -> dict:
-    """All facts of one file."""
+def facts_of(content: str, fragments: bool = True) -> dict:
+    """All facts of one file; fragments and hashes of bodies, which cost the most, only if asked for."""
     tree = ast.parse(content)
     out: dict = {"docstring": ast.get_docstring(tree), "defs": [], "imports": [], "literals": [], "fragments": [], "loops": [], "assigned": []}
-    used, named = set(), set()
+    used, named, stored = set(), set(), set()
     doc_nodes = {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, ast.ClassDef, *_DEFS)) and ast.get_docstring(n) is not None}
     upper = lambda s: isinstance(s, (ast.Assign, ast.AnnAssign)) and all(isinstance(t, ast.Name) and t.id.isupper() for t in (s.targets if isinstance(s, ast.Assign) else [s.target]))
 
     def walk(node: ast.AST, scope: list[str], class_name: str | None, checking: bool, defining: tuple, in_call: bool, constant: bool) -> None:
         if isinstance(node, (*_DEFS, ast.ClassDef)):
             kind = "class" if isinstance(node, ast.ClassDef) else "method" if class_name else "function"
-            out["defs"].append(_def(node, kind, scope, class_name if kind == "method" else None))
-            if kind != "class" and node.end_lineno - node.lineno >= 3:
+            out["defs"].append(_def(node, kind, scope, class_name if kind == "method" else None, fragments))
+            if fragments and kind != "class" and node.end_lineno - node.lineno >= 3:
                 body = node.body[1:] if ast.get_docstring(node) is not None else node.body
                 if body:
                     out["fragments"].append(_fragment("function", body, ".".join([*scope, node.name])))
-            for child in [*node.decorator_list, *getattr(node, "bases", []), *([node.args] if hasattr(node, "args") else []), *([node.returns] if getattr(node, "returns", None) else [])]:
+            for child in [*node.decorator_list, *getattr(node, "bases", []), *(k.value for k in getattr(node, "keywords", [])), *([node.args] if hasattr(node, "args") else []), *([node.returns] if getattr(node, "returns", None) else [])]:
                 walk(child, scope, class_name, checking, defining, in_call, constant)
             for child in node.body:
                 walk(child, [*scope, node.name], node.name if kind == "class" else None, checking, (*defining, node.name), False, False)
@@ -191,14 +205,20 @@ def facts_of(content: str) -> dict:
             return
         if isinstance(node, ast.Name):
             named.add(node.id)
-            if isinstance(node.ctx, ast.Load) and node.id not in defining:
+            if not isinstance(node.ctx, ast.Load):
+                stored.add(node.id)
+            elif node.id not in defining:
                 used.add(node.id)
+        elif isinstance(node, ast.arg):
+            stored.add(node.arg)
+        elif isinstance(node, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and node.name:
+            stored.add(node.name)
         if isinstance(node, ast.Constant) and not isinstance(node.value, (bool, type(None), type(...))):
             kind = "string" if isinstance(node.value, str) else "bytes" if isinstance(node.value, bytes) else "int" if isinstance(node.value, int) else "float"
             out["literals"].append({"kind": kind, "value": node.value if kind == "string" else repr(node.value), "line_number": node.lineno, "in_call": in_call, "constant_target": constant, "is_docstring": id(node) in doc_nodes})
-        if isinstance(node, (ast.BinOp, ast.Call)) and hasattr(node, "lineno"):
+        if fragments and isinstance(node, (ast.BinOp, ast.Call)) and hasattr(node, "lineno"):
             out["fragments"].append(_fragment("expression", [node], scope[-1] if scope else None))
-        if isinstance(node, _BLOCKS) and len(node.body) >= 2:
+        if fragments and isinstance(node, _BLOCKS) and len(node.body) >= 2:
             out["fragments"].append(_fragment(type(node).__name__.lower(), node.body, scope[-1] if scope else None))
         if isinstance(node, ast.For):
             out["loops"] += [{"pattern": p, "suggestion": s, "confidence": c, "start_line": node.lineno, "end_line": node.end_lineno} for p, s, c in loop_patterns(node)]
@@ -214,39 +234,42 @@ def facts_of(content: str) -> dict:
 
     for child in tree.body:
         walk(child, [], None, False, (), False, False)
-    return out | {"used": sorted(used), "named": sorted(named)}
+    return out | {"used": sorted(used), "named": sorted(named), "stored": sorted(stored)}
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """One row per file with all its facts; `error` tells why a file has none."""
+def parse(files: DataFrame, fragments: bool = True) -> DataFrame:
+    """One row per file with all its facts, fragments if asked for; `error` tells why a file has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = {"docstring": None} | {k: [] for k in ("defs", "used", "named", "assigned", "imports", "literals", "fragments", "loops")}
+        empty = {"docstring": None} | {k: [] for k in ("defs", "used", "named", "stored", "assigned", "imports", "literals", "fragments", "loops")}
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 try:
-                    own, error = facts_of(r.content or ""), None
+                    own, error = facts_of(r.content or "", fragments), None
                 except (SyntaxError, ValueError, RecursionError) as e:
                     own, error = empty, f"{type(e).__name__}: {e}"
                 rows.append({"path": r.path, "module": r.module, "is_test": r.is_test, "error": error} | own)
-            yield pd.DataFrame(rows, columns=[c.split(" ", 1)[0] for c in ("path", "module", "is_test", "error", "docstring", "defs", "used", "named", "assigned", "imports", "literals", "fragments", "loops")])
+            yield pd.DataFrame(rows, columns=[c.split(" ", 1)[0] for c in ("path", "module", "is_test", "error", "docstring", "defs", "used", "named", "stored", "assigned", "imports", "literals", "fragments", "loops")])
 
     return files.select("path", "module", "content", "is_test").mapInPandas(run, FACTS)
 
 
 class Facts:
-    """The parsed corpus; each property is the table of one kind of fact."""
+    """The parsed corpus; each property is the table of one kind of fact.
+
+    Fragments and hashes of bodies come from a parse of their own (`whole`), so what doesn't need them doesn't pay for them.
+    """
 
     def __init__(self, files: DataFrame):
-        self.files, self.parsed = files, parse(files)
+        self.files, self.parsed, self.whole = files, parse(files, fragments=False), parse(files)
 
     def persist(self) -> Facts:
-        self.parsed = self.parsed.persist()
+        self.parsed, self.whole = self.parsed.persist(), self.whole.persist()
         return self
 
-    def _table(self, column: str) -> DataFrame:
-        return self.parsed.select("path", F.col("module").alias("file_module"), "is_test", F.explode(column).alias("_x")).select("path", "file_module", "is_test", "_x.*")
+    def _table(self, column: str, whole: bool = False) -> DataFrame:
+        return (self.whole if whole else self.parsed).select("path", F.col("module").alias("file_module"), "is_test", F.explode(column).alias("_x")).select("path", "file_module", "is_test", "_x.*")
 
     @property
     def defs(self) -> DataFrame:
@@ -270,7 +293,12 @@ class Facts:
 
     @property
     def fragments(self) -> DataFrame:
-        return self._table("fragments")
+        return self._table("fragments", whole=True)
+
+    @property
+    def bodies(self) -> DataFrame:
+        """Functions with the hash of their body."""
+        return self._table("defs", whole=True).where("kind <> 'class'")
 
     @property
     def loops(self) -> DataFrame:

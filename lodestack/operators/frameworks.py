@@ -64,3 +64,21 @@ def relationships(files: DataFrame) -> DataFrame:
 def url_patterns(files: DataFrame) -> DataFrame:
     """(path, route, view, name) of URL tables."""
     return _zipped(files, r"\b(?:re_)?path\(\s*r?[\"']([^\"']*)[\"']\s*,\s*([\w.]+)[^)\n]*?(?:name\s*=\s*[\"']([\w-]*)[\"'])?\s*\)", 3).select("path", F.col("g1").alias("route"), F.col("g2").alias("view"), F.nullif("g3", F.lit("")).alias("name"))
+
+
+def url_files(files: DataFrame) -> DataFrame:
+    return files.where(F.col("path").rlike(r"(^|/)urls\.py$")).select("path")
+
+
+def apps_containing(files: DataFrame, pattern: str) -> DataFrame:
+    """(app, path): files that a pattern matches, under the first folder of their path."""
+    return files.where(F.col("content").rlike(pattern) & F.col("path").contains("/")).select(F.substring_index("path", "/", 1).alias("app"), "path")
+
+
+def apps_containing_class(files: DataFrame, name: str) -> DataFrame:
+    return apps_containing(files, rf"(?m)^class\s+{name}\b")
+
+
+def settings(files: DataFrame, name: str) -> DataFrame:
+    """(path, value): the text that a settings file assigns to a name at its top level."""
+    return _zipped(files.where(F.col("path").rlike(r"settings[^/]*\.py$|/settings/")), rf"(?m)^({name})\s*=\s*([^\n]*)", 2).select("path", F.col("g2").alias("value"))

@@ -1,7 +1,7 @@
 """Import graphs as edge tables (src, dst): neighbours, closures and cycles.
 
-Closures and cycles grow by one edge a round as joins on the node, with a written table now and then
-to cut the lineage; every round keeps only what is new, so it ends when nothing is.
+Closures and cycles grow by one edge a round as joins on the node; every round is cut from its
+lineage and keeps only what is new, so the search ends when nothing is.
 """
 
 from __future__ import annotations
@@ -9,12 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame, round_: int) -> DataFrame:
-    """Cut the lineage every third round, where the session has a checkpoint folder."""
-    if round_ % 3 == 2 and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df
+from ..rounds import cut
 
 
 def dependencies(edges: DataFrame, module: str) -> DataFrame:
@@ -33,34 +28,36 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("dst"))
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, node, depth): all nodes that lead from each root of `start` (root), at their least depth, itself left out."""
-    edges = edges.select("src", "dst").distinct()
-    seen = start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    edge = seen
-    for k in range(1, depth + 1):
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, node, depth): all nodes that lead from each root of `start` (root), at their least depth, itself left out; to the end, or so deep."""
+    edges = cut(edges.select("src", "dst").distinct())
+    edge = cut(start.select("root", F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)))
+    seen, k = edge, 0
+    while (depth is None or k < depth) and not edge.isEmpty():
+        k += 1
         new = edge.join(edges, edge["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        new = new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(k))
-        edge = _cut(new, k)
-        if edge.isEmpty():
-            break
+        edge = cut(new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         seen = seen.unionByName(edge)
     return seen.where("depth > 0")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """cycle: arrays of distinct nodes that lead back to the first, which is the smallest; one for each set of nodes.
 
-    All simple cycles of up to `longest` nodes. Paths grow only over nodes above their first, so each
-    cycle is met once for its smallest node.
+    All simple cycles, or those of up to `longest` nodes. Nodes without a way in or out are on none and
+    go first, round by round. Paths grow only over nodes above their first, so each cycle is met once
+    for its smallest node.
     """
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    edges, before = cut(edges.select("src", "dst").where("src <> dst").distinct()), -1
+    while (n := edges.count()) != before:
+        before = n
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
     paths = edges.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("src").alias("first"), F.col("dst").alias("last"))
-    out = None
-    for k in range(2, longest + 1):
-        step = paths.join(edges, F.col("last") == F.col("src"))
-        closed = step.where("dst = first").select("path")
-        out = closed if out is None else out.unionByName(closed)
-        if k < longest:
-            paths = _cut(step.where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), "first", F.col("dst").alias("last")), k)
+    out, k = edges.where("false").select(F.array("src").alias("path")), 1
+    while (longest is None or k < longest) and not paths.isEmpty():
+        k += 1
+        step = cut(paths.join(edges, F.col("last") == F.col("src")))
+        out = out.unionByName(step.where("dst = first").select("path"))
+        paths = step.where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), "first", F.col("dst").alias("last"))
     return out.groupBy(F.array_sort("path").alias("_set")).agg(F.min("path").alias("cycle")).select("cycle")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines_of, strip
+from .facts import Facts
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
@@ -17,8 +18,13 @@ def file_metrics(files: DataFrame) -> DataFrame:
 
 
 def module_metrics(per_file: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Sums by module, files, test files, their ratio, and the average of the files' averages above 0 for `extra` columns."""
+    """Sums by module, files, test files, their ratio, and the average of the files' averages above 0 for `extra` columns.
+
+    Counts of classes, functions and methods and the largest complexity too, where `code_metrics` gave them.
+    """
     sums = [F.sum(c).cast("long").alias(c) for c in ("total_lines", "blank_lines", "comment_lines", "code_lines")]
+    sums += [F.sum(c).cast("long").alias(c) for c in ("class_count", "function_count", "method_count") if c in per_file.columns]
+    sums += [F.max("max_complexity").alias("max_complexity")] if "max_complexity" in per_file.columns else []
     means = [F.avg(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in extra or []]
     out = per_file.groupBy("module").agg(F.count("*").alias("files"), F.count_if("is_test").alias("test_files"), *sums, *means)
     return out.withColumn("test_ratio", F.try_divide(F.col("test_files"), F.col("files") - F.col("test_files")))
@@ -44,3 +50,19 @@ def coverage_gaps(files: DataFrame) -> DataFrame:
 def unlabelled(files: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Files that no row of another table refers to."""
     return files.join(keys.select(F.col(key).cast("string").alias("path")).distinct(), "path", "left_anti")
+
+
+def code_metrics(facts: Facts) -> DataFrame:
+    """`file_metrics` with class_count, function_count, method_count, import_count, has_docstring, avg_complexity, max_complexity and avg_function_length.
+
+    The averages are 0 for a file without functions, as are all counts for one that doesn't parse.
+    """
+    kind = lambda k: F.size(F.filter("defs", lambda d: d["kind"] == k))
+    own = F.filter("defs", lambda d: d["kind"] != "class")
+    n = F.size(own)
+    mean = lambda f: F.when(n > 0, F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a + f(d)) / n).otherwise(F.lit(0.0))
+    rows = facts.parsed.select(
+        "path", kind("class").alias("class_count"), kind("function").alias("function_count"), kind("method").alias("method_count"), F.size("imports").alias("import_count"), F.col("docstring").isNotNull().alias("has_docstring"),
+        mean(lambda d: d["cyclomatic"]).alias("avg_complexity"), F.coalesce(F.array_max(F.transform(own, lambda d: d["cyclomatic"])), F.lit(0)).alias("max_complexity"), mean(lambda d: d["end_line"] - d["start_line"] + 1).alias("avg_function_length"),
+    )
+    return file_metrics(facts.files).join(rows, "path")

@@ -128,3 +128,20 @@ def bump_version(version: Column | str, part: str = "patch") -> Column:
     p = [F.regexp_extract(v, r"^(\d+)\.(\d+)\.(\d+)", k + 1).try_cast("long") for k in range(3)]
     k = ["major", "minor", "patch"].index(part)
     return F.when(v.rlike(r"^\d+\.\d+\.\d+"), F.concat_ws(".", *[(p[i] + 1 if i == k else p[i] if i < k else F.lit(0)).cast("string") for i in range(3)]))
+
+
+def all_requirements(files: DataFrame) -> DataFrame:
+    """(root, path, position, dependency columns): the requirements of each file and of all files that it includes, at whatever depth."""
+    from .graph import closure
+
+    roots = files.select(F.col("path").alias("root"))
+    reach = closure(includes(files), roots).select("root", F.col("node").alias("path")).unionByName(roots.withColumn("path", F.col("root")))
+    return reach.join(requirements(files), "path").select("root", "path", "position", "name", "version", "extras", "marker", "url", "editable")
+
+
+def scripts(config: DataFrame) -> DataFrame:
+    """(path, name, entry_point): the console scripts of parsed pyproject documents (path, json)."""
+    kind = "struct<project:struct<scripts:map<string,string>>,tool:struct<poetry:struct<scripts:map<string,string>>>>"
+    doc = F.from_json("json", kind)
+    rows = config.select("path", F.map_concat(*(F.coalesce(c, F.from_json(F.lit("{}"), "map<string,string>")) for c in (doc["project"]["scripts"], F.map_filter(doc["tool"]["poetry"]["scripts"], lambda k, v: ~F.coalesce(F.map_contains_key(doc["project"]["scripts"], k), F.lit(False)))))).alias("s"))
+    return rows.select("path", F.explode("s").alias("name", "entry_point"))

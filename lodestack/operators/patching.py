@@ -173,8 +173,8 @@ def operations(parsed: DataFrame) -> DataFrame:
     """operations(patch_id, file, hunk, operation, kind, name, new_name, confidence) behind a patch.
 
     What is added and not deleted, and the reverse, of classes, functions, methods, decorators and
-    imports; an addition and a deletion of a kind in one file, in order, pair as a rename of
-    confidence 0.8. Hunks without any of these count as line changes.
+    imports; an addition and a deletion of a class, function or method in one file, in order, pair as a
+    rename of confidence 0.8. Hunks without any of these count as line changes.
     """
     rows = changes(parsed).where("type <> 'context'")
     found = F.lit(None).cast("struct<kind:string,name:string>")
@@ -184,11 +184,42 @@ def operations(parsed: DataFrame) -> DataFrame:
     both = named.groupBy("patch_id", "file", "kind", "name").agg(F.min("hunk").alias("hunk"), F.min("seq").alias("seq"), F.count_if(F.col("type") == "add").alias("added"), F.count_if(F.col("type") == "delete").alias("deleted"))
     net = both.where("added <> deleted").withColumn("side", F.when(F.col("added") > F.col("deleted"), "add").otherwise("delete"))
     nth = F.row_number().over(Window.partitionBy("patch_id", "file", "kind", "side").orderBy("hunk", "seq", "name"))
-    net = net.withColumn("nth", F.when(F.col("kind").isin("decorator", "import"), -F.hash("name", "side") * 2 - F.when(F.col("side") == "add", 1).otherwise(0)).otherwise(nth))
-    gone, come = (net.where(F.col("side") == s).select("patch_id", "file", "kind", "nth", F.col("hunk").alias(f"hunk_{s}"), F.col("name").alias(f"name_{s}")) for s in ("delete", "add"))
-    pairs = gone.join(come, ["patch_id", "file", "kind", "nth"], "full")
+    net = net.withColumn("nth", nth).withColumn("alone", F.when(F.col("kind").isin("decorator", "import"), F.concat_ws(":", "side", "name")).otherwise(""))
+    gone, come = (net.where(F.col("side") == s).select("patch_id", "file", "kind", "nth", "alone", F.col("hunk").alias(f"hunk_{s}"), F.col("name").alias(f"name_{s}")) for s in ("delete", "add"))
+    pairs = gone.join(come, ["patch_id", "file", "kind", "nth", "alone"], "full")
     verb = F.when(F.col("name_add").isNull(), "delete").when(F.col("name_delete").isNull(), "add").otherwise("rename")
     out = pairs.select("patch_id", "file", F.coalesce("hunk_delete", "hunk_add").alias("hunk"), F.concat_ws("_", verb, "kind").alias("operation"), "kind", F.coalesce("name_delete", "name_add").alias("name"), F.when(verb == "rename", F.col("name_add")).alias("new_name"), F.when(verb == "rename", 0.8).otherwise(0.95).alias("confidence"))
     lines = rows.groupBy("patch_id", "file", "hunk").agg(F.count_if(F.col("type") == "add").alias("a"), F.count_if(F.col("type") == "delete").alias("d")).join(named.select("patch_id", "file", "hunk").distinct(), ["patch_id", "file", "hunk"], "left_anti")
     plain = F.when(F.col("d") == 0, "insert_lines").when(F.col("a") == 0, "delete_lines").otherwise("replace_lines")
     return out.unionByName(lines.select("patch_id", "file", "hunk", plain.alias("operation"), F.lit("line").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("new_name"), F.lit(0.5).alias("confidence")))
+
+
+def to_code(parsed: DataFrame) -> DataFrame:
+    """(patch_id, seq, line): the detected operations of a patch as calls of this engine's edits; what is no such operation is a comment."""
+    rows = operations(parsed)
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    name, new = quote(F.col("name")), quote(F.col("new_name"))
+    call = lambda f, *args: F.concat(F.lit(f"corpus.edit(edits.{f}, "), F.concat_ws(", ", *args), F.lit(")"))
+    verb = (
+        F.when(F.col("operation") == "rename_class", call("rename_class", name, new))
+        .when(F.col("operation").isin("rename_function", "rename_method"), call("rename_function", name, new))
+        .when(F.col("operation") == "add_import", call("add_import", name))
+        .when(F.col("operation") == "delete_import", call("remove_import", name))
+        .otherwise(F.concat(F.lit("# "), "operation", F.lit(" in "), "file", F.coalesce(F.concat(F.lit(": "), "name"), F.lit(""))))
+    )
+    order = Window.partitionBy("patch_id").orderBy("file", "hunk", "operation", "name")
+    return rows.select("patch_id", (F.row_number().over(order) - 1).alias("seq"), verb.alias("line"))
+
+
+def to_script(parsed: DataFrame) -> DataFrame:
+    """(patch_id, text): a script that repeats a patch's operations on a corpus."""
+    lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
+    head = "from lodestack.operators import edits\n\n\ndef main(corpus):\n"
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("    "), x["line"], F.lit("\n"))), "")
+    return to_code(parsed).groupBy("patch_id").agg(F.concat(F.lit(head), body, F.lit("    return corpus\n")).alias("text"))
+
+
+def file_operations(parsed: DataFrame) -> DataFrame:
+    """(patch_id, file, operation, old_path): files that a patch creates, deletes or renames."""
+    verb = F.when(F.col("status") == "added", "create_file").when(F.col("status") == "deleted", "delete_file").when(F.col("status") == "renamed", "rename_file")
+    return parsed.where(verb.isNotNull()).select("patch_id", "file", verb.alias("operation"), F.when(F.col("status") == "renamed", F.col("old_path")).alias("old_path"))

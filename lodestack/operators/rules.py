@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import match_places, strip
 from ..schemas import finding
 
 
@@ -69,27 +69,20 @@ SECRETS = [
 
 
 def _hits(rule: Rule, content: Column) -> Column:
-    """The rule's matches in a content as (rule fields, line number, snippet), comment lines left out."""
-    cuts = F.split(content, rule.pattern, -1)
-    found = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(0))
-
-    def hit(match: Column, i: Column) -> Column:
-        head = F.concat(F.array_join(F.transform(F.slice(cuts, F.lit(1), i), lambda c, k: F.concat(c, F.element_at(found, k + 1))), ""), F.element_at(cuts, i + 1))
-        number = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
-        text = F.element_at(F.split(content, "\n", -1), number.cast("int"))
-        return F.struct(F.lit(rule.name).alias("name"), F.lit(rule.type).alias("type"), F.lit(rule.severity).alias("severity"), F.lit(rule.recommendation).alias("recommendation"), number.cast("int").alias("line"), strip(text).alias("text"))
-
-    hits = F.filter(F.transform(found, hit), lambda h: ~h["text"].startswith("#"))
-    return F.when(content.rlike(rule.pattern), hits)
+    """The rule's matches in a content as (rule fields, line number)."""
+    hit = lambda m: F.struct(F.lit(rule.name).alias("name"), F.lit(rule.type).alias("type"), F.lit(rule.severity).alias("severity"), F.lit(rule.recommendation).alias("recommendation"), m["line_number"].alias("line"))
+    return F.when(content.rlike(rule.pattern), F.transform(match_places(content, rule.pattern), hit))
 
 
 def scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
     """findings of all rules over whole contents; a match's line is that of its start, and comment lines are skipped."""
     content = F.col("content")
     hits = F.flatten(F.filter(F.array(*(_hits(r, content) for r in rules)), lambda x: x.isNotNull()))
-    rows = files.where(F.lit(False) if not rules else _any(content, rules)).select("path", F.explode(hits).alias("h"))
-    h = F.col("h")
-    return rows.select(*finding("security", h["type"], file_path=F.col("path"), line_number=h["line"], name=h["name"], message=F.concat(h["name"], F.lit(" found")), severity=h["severity"], code_snippet=F.substring(h["text"], 1, 100), recommendation=h["recommendation"]))
+    rows = files.where(F.lit(False) if not rules else _any(content, rules)).select("path", hits.alias("hits"), F.split(content, "\n", -1).alias("lines"))
+    text = F.transform("hits", lambda h: F.struct(h.alias("h"), strip(F.element_at(F.col("lines"), h["line"])).alias("text")))
+    rows = rows.select("path", F.explode(F.filter(text, lambda x: ~x["text"].startswith("#"))).alias("x"))
+    h = F.col("x.h")
+    return rows.select(*finding("security", h["type"], file_path=F.col("path"), line_number=h["line"], name=h["name"], message=F.concat(h["name"], F.lit(" found")), severity=h["severity"], code_snippet=F.substring(F.col("x.text"), 1, 100), recommendation=h["recommendation"]))
 
 
 def _any(content: Column, rules: list[Rule]) -> Column:

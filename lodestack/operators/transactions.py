@@ -53,3 +53,61 @@ def batch(results: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def last_diffs(results: DataFrame, seq: str) -> DataFrame:
     return results.where("diff is not null").groupBy("path").agg(F.max_by("diff", seq).alias("diff"))
+
+
+def combine_diffs(results: DataFrame) -> DataFrame:
+    """(diff): all diffs of results as one text, in order of their paths; a report, so one row."""
+    parts = F.array_sort(F.collect_list(F.struct("path", "diff")))
+    return results.where("diff is not null").agg(F.array_join(parts["diff"], "\n").alias("diff"))
+
+
+class Transaction:
+    """Edits that are applied together or not at all: add logs, preview, then commit or roll back; it doesn't nest.
+
+    As a context manager it commits at the end (`committed` has the new files) and rolls back on an error.
+    """
+
+    _open = False
+
+    def __init__(self, files: DataFrame):
+        self.files, self.logs, self.committed = files, [], None
+
+    def __enter__(self) -> Transaction:
+        if Transaction._open:
+            raise RuntimeError("a transaction is open already")
+        Transaction._open = True
+        return self
+
+    def __exit__(self, kind, value, trace) -> None:
+        Transaction._open = False
+        if kind is None:
+            self.commit()
+        else:
+            self.rollback()
+
+    def add(self, log: DataFrame) -> None:
+        """Edits (path, original, new, operation) after all that were added before."""
+        self.logs.append(log.select("path", F.lit(len(self.logs)).alias("seq"), "original", "new", "operation"))
+
+    @property
+    def pending(self) -> DataFrame | None:
+        out = None
+        for log in self.logs:
+            out = log if out is None else out.unionByName(log)
+        return out
+
+    def current(self) -> DataFrame:
+        """The files as the pending edits leave them, for the next edit."""
+        return self.files if not self.logs else commit(self.files, self.pending)
+
+    def preview(self) -> DataFrame | None:
+        return preview(self.pending) if self.logs else None
+
+    def commit(self) -> DataFrame:
+        self.committed = self.current()
+        return self.committed
+
+    def rollback(self) -> DataFrame:
+        """Forget all edits; the files are as they were, which no edit ever touched."""
+        self.logs, self.committed = [], None
+        return self.files

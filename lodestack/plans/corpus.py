@@ -33,7 +33,8 @@ class Corpus:
         return Facts(self.files).persist()
 
     def find_classes(self, pattern: str = "") -> DataFrame:
-        return self.facts.classes.where("depth = 0").where(f"name rlike '{pattern}'") if pattern else self.facts.classes.where("depth = 0")
+        rows = self.facts.classes.where("depth = 0")
+        return rows.where(rows["name"].rlike(pattern)) if pattern else rows
 
     def find_functions(self, pattern: str = "") -> DataFrame:
         rows = self.facts.functions.where("depth = 0")

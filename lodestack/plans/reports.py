@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import analysis, metrics
+from ..operators.facts import Facts
 from ..operators.findings import Findings
+from ..schemas import SEVERITIES, union
 
 LEVELS = {"critical": "error", "high": "error", "error": "error", "medium": "warning", "warning": "warning"}
 
@@ -26,10 +30,16 @@ def as_sarif(findings: DataFrame, tool: str = "lodestack") -> DataFrame:
     return findings.select(F.to_json(F.struct(F.col("type").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), place.alias("locations"))).alias("value"))
 
 
-def sarif_document(findings: DataFrame, tool: str = "lodestack", most: int = 10_000) -> str:
-    """A SARIF document of the `most` most severe findings."""
-    rows = as_sarif(Findings(findings).sorted_by_severity().df.limit(most))
-    return json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool}}, "results": [json.loads(r["value"]) for r in rows.collect()]}]}, indent=2)
+def sarif_document(findings: DataFrame, tool: str = "lodestack", most: int | None = None) -> str:
+    """A SARIF document of all findings, the most severe first; with `most`, of so many of them, and the document says how many are left out.
+
+    The document is one text on the driver; `as_sarif` gives results of any number as rows.
+    """
+    rows = as_sarif(Findings(findings).sorted_by_severity().df.limit(most) if most is not None else Findings(findings).sorted_by_severity().df)
+    results = [json.loads(r["value"]) for r in rows.toLocalIterator()]
+    left = findings.count() - len(results) if most is not None else 0
+    run = {"tool": {"driver": {"name": tool}}, "results": results} | ({"properties": {"resultsLeftOut": left}} if left else {})
+    return json.dumps({"version": "2.1.0", "runs": [run]}, indent=2)
 
 
 def as_csv(findings: DataFrame, path: str) -> None:
@@ -44,12 +54,13 @@ def markdown(findings: DataFrame, domain: str = "security", title: str = "Findin
 
 
 def table(findings: DataFrame, top: int = 50, width: int = 60) -> str:
-    """A fixed-width table of the first findings by place."""
+    """A fixed-width table of the first findings by place, and how many more there are."""
     rows = Findings(findings).first(top).to_dicts().collect()
+    left = findings.count() - len(rows)
     cut = lambda s: s if len(s) <= width else s[: width - 1] + "…"
     text = [["type", "file", "line", "severity", "message"], *([cut(str(r[c])) for c in ("type", "file", "line", "severity", "message")] for r in rows)]
     size = [max(len(r[k]) for r in text) for k in range(5)]
-    return "\n".join("  ".join(c.ljust(n) for c, n in zip(r, size, strict=True)).rstrip() for r in text)
+    return "\n".join(["  ".join(c.ljust(n) for c, n in zip(r, size, strict=True)).rstrip() for r in text] + ([f"... and {left} more"] if left else []))
 
 
 def api_summary(defs: DataFrame) -> DataFrame:
@@ -57,3 +68,59 @@ def api_summary(defs: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- `"), "full_name", F.lit("`"), F.coalesce(F.concat(F.lit(": "), F.substring(F.regexp_replace("docstring", r"\s+", " "), 1, 200)), F.lit("")))
     rows = defs.where(~F.col("full_name").rlike(r"(^|\.)_")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", line.alias("line")))).alias("rows"))
     return rows.select("path", F.concat(F.lit("## "), "path", F.lit("\n\n"), F.array_join(F.col("rows.line"), "\n"), F.lit("\n")).alias("text"))
+
+
+def report_rows(findings: DataFrame, domain: str = "security", quick: str | None = None) -> DataFrame:
+    """(part, key, n): findings by severity, type and file, and with `quick` those at least so severe; a report of any size as rows, in one pass."""
+    own = Findings(findings, domain)
+    entry = lambda part, column: F.struct(F.lit(part).alias("part"), F.col(column).alias("key"))
+    parts = [entry("severity", "severity"), entry("type", "type"), entry("file", "file_path")]
+    if quick:
+        names = SEVERITIES[domain]
+        parts.append(F.when(own.rank(len(names)) <= names.index(quick), entry("quick", "severity")))
+    rows = findings.select(F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("x"))
+    return rows.groupBy("x.part", "x.key").agg(F.count("*").alias("n"))
+
+
+def todo_lines(found: DataFrame, form: str = "markdown") -> DataFrame:
+    """(path, line_number, value): each TODO as a line of markdown, JSON, CSV or a table."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    place = F.concat("path", F.lit(":"), F.col("line_number").cast("string"))
+    forms = {
+        "markdown": F.concat(F.lit("- **"), "type", F.lit("** `"), place, F.lit("` "), text("text"), F.when(F.col("author").isNotNull(), F.concat(F.lit(" (@"), "author", F.lit(")"))).otherwise("")),
+        "csv": F.concat_ws(",", "path", F.col("line_number").cast("string"), "type", text("author"), text("priority"), text("issue_ref"), F.concat(F.lit('"'), F.replace(text("text"), F.lit('"'), F.lit('""')), F.lit('"'))),
+        "json": F.to_json(F.struct("path", "line_number", "type", "text", "author", "priority", "issue_ref", "date")),
+        "table": F.concat(F.rpad("type", 7, " "), F.rpad(place, 40, " "), text("text")),
+    }
+    return found.select("path", "line_number", forms[form].alias("value"))
+
+
+def module_structure(facts: Facts) -> DataFrame:
+    """(path, text): each file's classes with their methods, and its functions, as an indented outline in order."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") + 1), F.when(F.col("kind") == "class", "class ").otherwise("def "), "name")
+    rows = facts.defs.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", line.alias("line")))).alias("rows"))
+    return rows.select("path", F.concat("path", F.lit("\n"), F.array_join("rows.line", "\n"), F.lit("\n")).alias("text"))
+
+
+def complexity_report(facts: Facts, most: int = 10) -> DataFrame:
+    """(path, functions, above, avg_complexity, max_complexity) of each file, `above` those more complex than `most`."""
+    return facts.functions.groupBy("path").agg(F.count("*").alias("functions"), F.count_if(F.col("cyclomatic") > most).alias("above"), F.avg("cyclomatic").alias("avg_complexity"), F.max("cyclomatic").alias("max_complexity"))
+
+
+def coverage_gaps_report(facts: Facts) -> DataFrame:
+    """(part, path, name): source files without a test file, and public functions and classes without a test."""
+    files = metrics.coverage_gaps(facts.files).select(F.lit("file").alias("part"), "path", F.lit(None).cast("string").alias("name"))
+    rows = [analysis.functions_without_tests(facts).select(F.lit("function").alias("part"), "path", "name"), analysis.classes_without_tests(facts).select(F.lit("class").alias("part"), "path", "name")]
+    return union(files, *rows)
+
+
+def full_report(facts: Facts) -> DataFrame:
+    """(section, key, value): totals of the corpus, findings by type, and gaps by part, as rows."""
+    per_file = metrics.code_metrics(facts)
+    total = per_file.agg(F.count("*").alias("files"), *(F.sum(c).cast("long").alias(c) for c in ("total_lines", "code_lines", "class_count", "function_count", "method_count")))
+    names = total.columns
+    totals = total.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(F.col(c).cast("long") for c in names)))).alias("key", "value"))
+    found = union(analysis.complexity_issues(facts), analysis.pattern_issues(facts), analysis.dead_code(facts))
+    types = found.groupBy(F.col("type").alias("key")).agg(F.count("*").alias("value"))
+    gaps = coverage_gaps_report(facts).groupBy(F.col("part").alias("key")).agg(F.count("*").alias("value"))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(s).alias("section"), "key", "value") for s, df in (("summary", totals), ("findings", types), ("gaps", gaps))))

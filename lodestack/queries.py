@@ -1,20 +1,19 @@
 """Registered queries of the engine's own operators over the driver tables, with the SQL that must return the same rows.
 
-file = documents(doc_id, text, source); configuration = events.props; edges = consecutive parts of an
-order; ordered edits = conversations. Every query runs over its whole tables.
+file = documents(doc_id, text, source); configuration = events.props; ordered edits = conversations.
+Queries of code operators, in `code_queries` and `edit_queries`, run over corpora rendered from
+all documents. Every query runs over its whole tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import config, text
-from .operators import analysis, comments, duplicates, edits, graph, metrics, packaging, patching, rules, transactions
-from .operators.facts import Facts
+from .operators import comments, duplicates, metrics, packaging, rules, transactions
 from .operators.findings import Findings
 from .operators.rules import Rule
-from .schemas import union
 from .sources.files import of_columns, read_documents
 from .streaming import arrivals
 
@@ -148,30 +147,11 @@ def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.project_summary(metrics.file_metrics(read_documents(spark, sf_dir)))
 
 
-@query("coverage_gaps", "SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
-def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("unlabelled_documents", "SELECT doc_id::VARCHAR AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.unlabelled(read_documents(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id").select("path")
 
 
-_NAMES = "SELECT source AS module, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM documents"
-
-
-def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_documents(spark, sf_dir).select("module", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
-
-
-@query("unused_definitions", f"WITH n AS (SELECT DISTINCT module, name FROM ({_NAMES})) SELECT name FROM n WHERE module = 'src0' AND name NOT IN (SELECT name FROM n WHERE module <> 'src0')")
-def unused_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _names(spark, sf_dir).distinct()
-    return names.where("module = 'src0'").join(names.where("module <> 'src0'").select("name").distinct(), "name", "left_anti").select("name")
-
-
-@query("missing_names", f"SELECT DISTINCT name FROM ({_NAMES}) WHERE name NOT IN (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) FROM benchmark)")
-def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = of_columns(table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0))).alias("name")).distinct()
-    return _names(spark, sf_dir).select("name").distinct().join(known, "name", "left_anti")
-
-
 @query("duplicate_contents", "SELECT md5(text) AS content_md5, count(*) AS occurrences, min(doc_id::VARCHAR) AS first_path FROM documents GROUP BY 1 HAVING count(*) >= 2")
 def duplicate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_contents(read_documents(spark, sf_dir))
@@ -182,12 +162,6 @@ def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.duplicate_lines(read_documents(spark, sf_dir))
 
 
-@query("duplicate_literals", "SELECT value, count(*) AS occurrences, count(DISTINCT path) AS files FROM (SELECT doc_id::VARCHAR AS path, unnest(regexp_extract_all(text, '[0-9]{3,}')) AS value FROM documents) GROUP BY value HAVING count(*) >= 3")
-def duplicate_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = duplicates.literals_of(read_documents(spark, sf_dir), "[0-9]{3,}")
-    return rows.groupBy("value").agg(F.count("*").alias("occurrences"), F.countDistinct("path").alias("files")).where("occurrences >= 3")
-
-
 @query("duplicate_block_members", "SELECT doc_id::VARCHAR AS file_path, 'DUPLICATE_CODE_BLOCK' AS type, n::DOUBLE AS value_num, first AS first_path FROM (SELECT doc_id, count(*) OVER w AS n, min(doc_id::VARCHAR) OVER w AS first FROM documents WINDOW w AS (PARTITION BY md5(text))) WHERE n >= 2")
 def duplicate_block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_documents(spark, sf_dir).select("path", F.md5(F.col("content").cast("binary")).alias("norm_hash"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("context"), F.lit(None).cast("string").alias("source"))
@@ -195,48 +169,6 @@ def duplicate_block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_path", "type", "value_num", F.regexp_extract(F.col("context")["first"], "^(.*):", 1).alias("first_path"))
 
 
-_EDGES = "e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"
-
-
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return rows.where("dst is not null").distinct()
-
-
-@query("graph_edges", f"WITH {_EDGES} SELECT * FROM e")
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir)
-
-
-@query("graph_adjacency", f"WITH {_EDGES} SELECT src, array_to_string(list_sort(list(dst)), ',') AS dst FROM e GROUP BY src")
-def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.adjacency(_edges(spark, sf_dir)).select("src", F.array_join(F.col("dst").cast("array<string>"), ",").alias("dst"))
-
-
-@query("graph_dependents", f"WITH {_EDGES} SELECT DISTINCT src FROM e WHERE dst = 1")
-def graph_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.dependents(_edges(spark, sf_dir), 1)
-
-
-@query("graph_closure", f"""WITH RECURSIVE {_EDGES}, r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON r.node = e.src WHERE depth < 2)
-SELECT 1::BIGINT AS root, node, min(depth)::INT AS depth FROM r WHERE node <> 1 GROUP BY node""")
-def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_edges(spark, sf_dir), spark.range(1, 2).withColumnRenamed("id", "root"), depth=2)
-
-
-@query("graph_cycles", f"WITH {_EDGES} SELECT DISTINCT a.src AS first, a.dst AS second FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
-def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_edges(spark, sf_dir), longest=2).select(F.col("cycle")[0].alias("first"), F.col("cycle")[1].alias("second"))
-
-
-@query("classify_sources", "SELECT kind, count(*) AS n, sum(c_acctbal) > 0 AS positive FROM (SELECT c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 'firstparty' WHEN c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') THEN 'stdlib' ELSE 'thirdparty' END AS kind FROM customer) GROUP BY kind")
-def classify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("c_mktsegment")
-    kind = F.when(s == "BUILDING", "firstparty").when(s.isin("AUTOMOBILE", "MACHINERY"), "stdlib").otherwise("thirdparty")
-    return table(spark, sf_dir, "customer").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), (F.sum("c_acctbal") > 0).alias("positive"))
-
-
 @query("config_get", "SELECT event_id, (props->>'$.k')::BIGINT AS k, coalesce(props->>'$.none', 'default') AS missing FROM events")
 def config_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", config.get("props", "k", "bigint").alias("k"), config.get("props", "none", default="default").alias("missing"))
@@ -259,25 +191,6 @@ def config_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", config.get(F.col("done.json"), "k", "bigint").alias("k"), config.get(F.col("done.json"), "section.b").alias("b"))
 
 
-@query("directive_codes_top20", "SELECT code, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '\\b[A-Z]+[0-9]+\\b')) AS code FROM documents) GROUP BY code ORDER BY n DESC, code LIMIT 20")
-def directive_codes_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = read_documents(spark, sf_dir).select(F.regexp_extract_all(F.upper("content"), F.lit(r"\b[A-Z]+[0-9]+\b"), F.lit(0)).alias("codes"))
-    return comments.count_by_code(codes, top=20)
-
-
-@query("unreachable_lag", rf"WITH {_LINES} SELECT path, line_number::INT AS line_number FROM (SELECT *, lag(text) OVER (PARTITION BY path ORDER BY line_number) AS before FROM lines) WHERE regexp_matches(before, '{IP}')")
-def unreachable_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = text.explode_lines(read_documents(spark, sf_dir))
-    before = F.lag("text").over(Window.partitionBy("path").orderBy("line_number"))
-    return rows.withColumn("before", before).where(F.col("before").rlike(IP)).select("path", "line_number")
-
-
-@query("hunk_running_lines", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS old_line, CAST(sum(1) OVER w AS BIGINT) AS new_line FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
-def hunk_running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w).alias("old_line"), F.sum(F.lit(1)).over(w).alias("new_line"))
-
-
 @query("transaction_fold", "SELECT conv_id::VARCHAR AS path, md5(min_by(text, turn)) AS original, md5(max_by(text, turn)) AS new, string_agg(role, '; ' ORDER BY turn, role) AS operation, count(*) AS n_edits FROM conversations GROUP BY conv_id")
 def transaction_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("seq"), F.col("text").alias("original"), F.col("text").alias("new"), F.col("role").alias("operation"))
@@ -303,16 +216,6 @@ def stale_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments.stale(rows, 90, F.lit("1998-08-02").cast("date")).select("o_orderkey")
 
 
-@query("stale_docstring_names", """WITH w AS (SELECT source, lang, list_distinct(list(turn_name)) AS names FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), ' ([a-z]{2}) ', 1)) AS turn_name FROM documents) GROUP BY ALL)
-SELECT a.source, array_to_string(list_sort(list_filter(a.names, lambda x: NOT list_contains(b.names, x))), ',') AS stale, array_to_string(list_sort(list_filter(b.names, lambda x: NOT list_contains(a.names, x))), ',') AS missing
-FROM w a JOIN w b ON a.source = b.source AND a.lang = 'en' AND b.lang = 'fr'""")
-def stale_docstring_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(" ([a-z]{2}) "), F.lit(1))).alias("name"))
-    names = rows.groupBy("source", "lang").agg(F.collect_set("name").alias("names"))  # two-letter names: at most 676 in a set
-    a, b = names.where("lang = 'en'").select("source", F.col("names").alias("a")), names.where("lang = 'fr'").select("source", F.col("names").alias("b"))
-    return a.join(b, "source").select("source", F.array_join(F.sort_array(F.array_except("a", "b")), ",").alias("stale"), F.array_join(F.sort_array(F.array_except("b", "a")), ",").alias("missing"))
-
-
 @query("windowed_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals.windowed_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
@@ -327,57 +230,3 @@ def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bump_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.concat_ws(".", (F.col("o_orderkey") % 7).cast("string"), (F.col("o_custkey") % 5).cast("string"), F.lit("9-rc1"))
     return table(spark, sf_dir, "orders").select("o_orderkey", packaging.bump_version(own, "minor").alias("version"))
-
-
-SAMPLE = {
-    "pkg/a.py": 'import os\nimport json\n\nclass Store:\n    """Keeps."""\n    def get(self, key, default=None):\n        if key and key in self.rows or default:\n            return self.rows[key]\n        return default\n\ndef main():\n    out = []\n    for k in range(3):\n        out.append(json.dumps(k))\n    return out\n',
-    "pkg/b.py": "from .a import Store\n\ndef unused(x: int) -> int:\n    # TODO(ann): check #4\n    try:\n        return x\n    except:\n        pass\n",
-}
-PATCH = "--- a/pkg/b.py\n+++ b/pkg/b.py\n@@ -3,2 +3,2 @@\n-def unused(x: int) -> int:\n+def used(x: int) -> int:\n     # TODO(ann): check #4\n"
-
-
-def _sample(spark: SparkSession) -> DataFrame:
-    return of_columns(spark.createDataFrame(list(SAMPLE.items()), "path string, content string"))
-
-
-@query("ast_defs", None)
-def ast_defs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Facts(_sample(spark)).defs.select("path", "kind", "full_name", "start_line", "end_line", "cyclomatic", "nesting", "n_params", "docstring")
-
-
-@query("ast_findings", None)
-def ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = Facts(_sample(spark))
-    return union(analysis.complexity_issues(facts), analysis.dead_code(facts), analysis.pattern_issues(facts), analysis.unused_imports(facts), analysis.repetition_issues(facts), analysis.loop_issues(facts)).drop("context")
-
-
-@query("ast_import_edges", None)
-def ast_import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.import_edges(Facts(_sample(spark)))
-
-
-@query("todo_comments", None)
-def todo_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comments.todos(_sample(spark))
-
-
-@query("patch_changes", None)
-def patch_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patching.changes(patching.parse(spark.createDataFrame([("p", PATCH)], "patch_id string, text string")))
-
-
-@query("patch_apply", None)
-def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patching.apply(_sample(spark), patching.parse(spark.createDataFrame([("p", PATCH)], "patch_id string, text string")), strict=True)
-
-
-@query("edit_rename_class", None)
-def edit_rename_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.edit(_sample(spark), edits.rename_class, "Store", "Depot")
-
-
-@query("unified_diff", None)
-def unified_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The diff of every document that the redaction of addresses changes."""
-    files = read_documents(spark, sf_dir)
-    return transactions.preview(transactions.edits_of(files.where(F.col("content").rlike(IP)), text.replace_pattern("content", IP, "0.0.0.0"), "redact"))

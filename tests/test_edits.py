@@ -41,15 +41,15 @@ def test_every_edit_parses_and_keeps_the_rest():
     assert "def simple(a" in e.rename_function(CODE, "plain", "simple")
     assert "    @cache\n    def go" in e.add_decorator(CODE, "go", "@cache", "A") and "@x\n@dec\nclass" in e.add_decorator(CODE, "A", "x", kind="class")
     assert "@dec" not in e.remove_decorator(CODE, "A", "dec", kind="class")
-    assert "@classmethod\n    def make(cls, v=')')" in e.static_to_class_method(CODE, "A", "make")
-    assert "def go(self, a, t: str, b: int=2" in e.add_parameter(CODE, "go", "t", "str", class_name="A")
-    assert "t: int=3, *, k=None" in e.add_parameter(CODE, "go", "t", "int", "3", "A")
+    assert '@classmethod\n    def make(cls, v=")")' in e.static_to_class_method(CODE, "A", "make")
+    assert "def go(self, a, t: str, b: int = 2" in e.add_parameter(CODE, "go", "t", "str", class_name="A")
+    assert "b: int = 2, t: int = 3, *, k=None" in e.add_parameter(CODE, "go", "t", "int", "3", "A")
     assert "def go(self, t, a" in e.add_parameter(CODE, "go", "t", class_name="A", position="start")
     assert "def go(self, a, *, k=None)" in e.remove_parameter(CODE, "go", "b", "A") and "def plain(a):" in e.remove_parameter(CODE, "plain", "b")
     assert "def go(self, z, b" in e.rename_parameter(CODE, "go", "a", "z", "A") and "old = z  # keep" in e.rename_parameter(CODE, "go", "a", "z", "A")
     assert "def plain(a: str, b=1)" in e.set_parameter_type(CODE, "plain", "a", "str")
     assert "def plain(a, b=1) -> str:" in e.set_return_type(CODE, "plain", "str") and "k=None) -> str:" in e.set_return_type(CODE, "go", "str", "A")
-    assert "def go(self, a, b=2, *, k=None):" in e.remove_type_hints(CODE, "go", "A")
+    assert "def go(self, a, b = 2, *, k=None):" in e.remove_type_hints(CODE, "go", "A")
     assert "async def fetch(url: str" in e.infer_type_hints(CODE, "fetch")
     assert "n: list[int] | None = None" in e.modernize_hints(CODE)
     assert "async def plain" in e.convert_to_async(CODE, "plain")
@@ -81,6 +81,75 @@ def test_every_edit_parses_and_keeps_the_rest():
     assert "@dataclass\nclass Q:\n    a: int\n    b: object = 2\n" in e.convert_to_dataclass("class Q:\n    def __init__(self, a: int, b=2):\n        self.a = a\n        self.b = b\n", "Q")
 
 
+SIGNATURE = """def f(
+    a,  # first, it's "quoted
+    b: int = (1),
+    /,
+    *rest,
+    k="x,y",
+    **more,
+):
+    return a
+"""
+
+
+def test_parameter_edits_touch_one_parameter():
+    assert e.set_parameter_type(SIGNATURE, "f", "a", "int") == SIGNATURE.replace("    a,", "    a: int,")
+    assert e.set_parameter_type(SIGNATURE, "f", "b", "float") == SIGNATURE.replace("b: int", "b: float")
+    assert e.set_parameter_type(SIGNATURE, "f", "more", "int") == SIGNATURE.replace("**more", "**more: int")
+    assert e.add_parameter(SIGNATURE, "f", "z", default="0") == SIGNATURE.replace("*rest", "z=0, *rest")
+    assert e.remove_parameter(SIGNATURE, "f", "k") == SIGNATURE.replace('k="x,y",\n    ', "")
+    assert e.remove_parameter(SIGNATURE, "f", "rest") == SIGNATURE.replace("*rest", "*")
+    assert e.remove_parameter("def f(a, *, k): pass\n", "f", "k") == "def f(a): pass\n" and e.remove_parameter("def f(a, /, b): pass\n", "f", "a") == "def f(b): pass\n"
+    assert e.remove_type_hints(SIGNATURE, "f") == SIGNATURE.replace("b: int", "b") and e.rename_parameter(SIGNATURE, "f", "a", "z") == SIGNATURE.replace("    a,", "    z,").replace("return a", "return z")
+    assert e.add_parameter("def f(): pass\n", "f", "x") == "def f(x): pass\n" and e.add_parameter("def f[T: (int, str)](a): pass\n", "f", "x") == "def f[T: (int, str)](a, x): pass\n"
+    assert e.add_parameter("def f(a=1): pass\n", "f", "c", "int", "2", position="start") == "def f(c: int = 2, a=1): pass\n"
+    with pytest.raises(e.NoTarget):
+        e.add_parameter("def f(a, b=1): pass\n", "f", "c", "int", "2", position="start")
+    assert e.reorder_parameters("def f(self, a, b, c=1): pass\n", "f", ["b", "a"]) == "def f(self, b, a, c=1): pass\n"
+
+
+def test_renaming_keeps_to_its_scope():
+    text = """def f(x):
+    return x
+class C:
+    def f(self):
+        return f(1)
+    g = f
+def g(f):
+    return f
+def h():
+    f = 1
+    return [f for _ in "a"], lambda f: f
+def i():
+    global f
+    return f"{f(2)}", [f for f in "a"]
+"""
+    want = text.replace("def f(x)", "def go(x)").replace("return f(1)", "return go(1)").replace("global f", "global go").replace('f"{f(2)}"', 'f"{go(2)}"')
+    assert e.rename_function(text, "f", "go") == want
+    assert e.rename_parameter("def f(a):\n    def g(a): return a\n    return a, g\n", "f", "a", "b") == "def f(b):\n    def g(a): return a\n    return b, g\n"
+
+
+def test_multi_line_strings_headers_and_names():
+    text = 'def f():\n    x = """a\n  b\n"""\n    return x\n'
+    scope: dict = {}
+    exec(e.wrap_with_try(text, "f", ["ValueError"], "raise"), scope)
+    assert scope["f"]() == "a\n  b\n"
+    assert e.set_header("#!/bin/sh\n# -*- coding: utf-8 -*-\n# Copyright 1\nx = 1\n", "Copyright 2") == "#!/bin/sh\n# -*- coding: utf-8 -*-\n# Copyright 2\nx = 1\n"
+    assert e.set_header("#!/bin/sh\nx = 1\n", "MIT") == "#!/bin/sh\n# MIT\nx = 1\n"
+    assert [e.infer_type(n) for n in ("path", "data", "file_path", "user_id", "is_on", "on_callback", "zebra")] == ["str | Path", "bytes", "str | Path", "int", "bool", "Callable", None]
+    assert "def f(a: int): pass" in e.set_parameter_type("x = 1\x0c\ndef f(a): pass\n", "f", "a", "int")
+
+
+def test_an_edit_never_stops_the_others(spark):
+    def odd(content: str) -> str:
+        return content + 1 if "bad" in content else content + "\n"
+
+    files = of_columns(spark.createDataFrame([("a.py", "bad = 1"), ("b.py", "x = 1")], "path string, content string"))
+    rows = {r["path"]: r for r in e.edit(files, odd).collect()}
+    assert rows["a.py"]["error"].startswith("TypeError") and rows["b.py"]["success"]
+
+
 @pytest.mark.parametrize(("change", "args"), [(e.rename_class, ("Z", "Y")), (e.add_parameter, ("plain", "a")), (e.remove_parameter, ("plain", "zz")), (e.convert_to_sync, ("plain",)), (e.remove_import, ("import re",)), (e.reorder_parameters, ("plain", ["b", "a"])), (e.add_base_class, ("A", "object"))])
 def test_no_target(change, args):
     with pytest.raises(e.NoTarget):
