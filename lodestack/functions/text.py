@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+"""What `str.strip` strips."""
+_START = r"(?:^|(?<=[\n\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}])|(?<=\r)(?!\n))"
+_BLANK = r"[\t\x1F \xA0\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]*"
 
 
 def _col(c: Column | str) -> Column:
@@ -22,8 +26,14 @@ def lines_of(content: Column | str) -> Column:
     return F.when(_col(content).isNull(), F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts))
 
 
+def count_lines(content: Column | str) -> tuple[Column, Column, Column]:
+    """How many lines a text has, and how many of them are blank or comments, counted over the text as a whole."""
+    count = lambda p: F.coalesce(F.regexp_count(_col(content), F.lit(_START + p)), F.lit(0))
+    return count(r"(?=[\s\S])"), count(rf"(?=[\s\S]){_BLANK}(?={LINE_END}|\z)"), count(rf"{_BLANK}#")
+
+
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(text), F.lit(SPACE))
 
 
 def explode_lines(files: DataFrame) -> DataFrame:

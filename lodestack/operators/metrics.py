@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, strip
+from ..functions.text import count_lines
 from .facts import Facts
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
     """path, module, is_test, total_lines, blank_lines, comment_lines, code_lines of each file, without exploding lines."""
-    own = F.transform(lines_of("content"), strip)
-    rows = files.select("path", "module", "is_test", own.alias("own"))
-    rows = rows.select("path", "module", "is_test", F.size("own").alias("total_lines"), F.size(F.filter("own", lambda x: x == "")).alias("blank_lines"), F.size(F.filter("own", lambda x: x.startswith("#"))).alias("comment_lines"))
+    total, blank, comment = count_lines("content")
+    rows = files.select("path", "module", "is_test", total.alias("total_lines"), blank.alias("blank_lines"), comment.alias("comment_lines"))
     return rows.withColumn("code_lines", F.col("total_lines") - F.col("blank_lines") - F.col("comment_lines"))
 
 
