@@ -528,7 +528,7 @@ def api_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.api_summary(Facts(SHOP.files(spark, sf_dir)).defs).select("path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-@query("complexity_report", f"WITH {SHOP.sql()} SELECT path, 5 AS functions, 0 AS above, 1.2::DOUBLE AS avg_complexity, 2 AS max_complexity FROM files")
+@query("complexity_report", f"WITH {SHOP.sql()} SELECT path, 5::BIGINT AS functions, 0::BIGINT AS above, 1.2::DOUBLE AS avg_complexity, 2 AS max_complexity FROM files")
 def complexity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.complexity_report(Facts(SHOP.files(spark, sf_dir)))
 

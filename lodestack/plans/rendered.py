@@ -82,7 +82,7 @@ class Template:
             starts.append(f"{before} AS b{k}")
             size = sum(x.times for x in b.lines)
             before = f"b{k} + {size}" if b.condition == "true" else f"b{k} + CASE WHEN {b.condition} THEN {size} ELSE 0 END"
-        return f"m AS (SELECT {literal(self.path)} AS path, *, {', '.join(starts)}, {before} AS total FROM ({BASE.format(documents='documents')})), files AS (SELECT path, d, {self.content()} AS content FROM m)"
+        return f"m AS (SELECT CAST({literal(self.path)} AS VARCHAR) AS path, *, {', '.join(starts)}, {before} AS total FROM ({BASE.format(documents='documents')})), files AS (SELECT path, d, {self.content()} AS content FROM m)"
 
     def rows(self, tag: str, columns: str = "") -> str:
         """SELECT path, line_number and the tag's columns of every line that carries the tag."""
