@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import kept, tidied, written
 
 WINDOW, SHARE, BLOCK_BYTES = 13, 20, 32 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -32,7 +32,6 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 """Lower-cases A-Z and makes whatever is outside words a space, byte by byte."""
 HITS = "key long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
-_built: dict[str, tuple[dict[bytes, int], ahocorasick.Automaton | None, list[list[str]], int]] = {}
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -89,10 +88,7 @@ def merged(ranges: list[list[int]]) -> list[list[int]]:
 def _scanned(items: Broadcast, name: str, window: int, carry: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = automaton(items.value, window)
-        built = _built[name]
+        built = kept(name, lambda: automaton(items.value, window))
         for batch in batches:
             earlier = batch["ranges"].to_pylist() if carry else None
             before = batch["items"].to_pylist() if carry else None
@@ -106,7 +102,7 @@ def _scanned(items: Broadcast, name: str, window: int, carry: bool):
                 names.append(sorted(seen))
             yield pa.record_batch({"key": batch["key"], "text": batch["text"], "n_words": pa.array(counts, pa.int64()), "ranges": pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), "items": pa.array(names, pa.list_(pa.string()))})
 
-    return run
+    return tidied(run)
 
 
 def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +120,7 @@ def _both(first, then):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from then(first(batches))
 
-    return run
+    return tidied(run)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -162,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document: null and empty texts have no words and no hits, repeated rows are found alike."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans")
 
 

@@ -48,10 +48,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import forget, written
+from .storage import forget, small_batches, tidied, written
 from .words import WHITE, hashed, mix
 
-WORDS, PERCENT, HEAVY, BLOCK, LEADERS, LED, BROADCAST_ROWS = 4, 85, 64, 4096, 2, 8, 2_000_000
+WORDS, PERCENT, HEAVY, BLOCK, LEADERS, LED, BROADCAST_ROWS = 4, 85, 64, 4096, 2, 8, 2_000_000  # rows of one key, 8 bytes each: 16 MB at most
 BITS, NAME_BYTES, PART_ROWS = 4, 8, 4_000_000
 TILE = ["element", "plain", "cell"]
 FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 64, np.uint64) | np.uint64(1)
@@ -137,7 +137,7 @@ def _features(words: int, names: Names):
                 bits = [bitmap(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
                 yield pa.record_batch({"key": part["key"], "n": pa.array(list(map(len, sets)), pa.int32()), "node": pa.array(names.of(digests)), "digest": pa.array(digests, pa.binary()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
-    return run
+    return tidied(run)
 
 
 def _sets(words: int, names: Names):
@@ -146,7 +146,7 @@ def _sets(words: int, names: Names):
             for part, sets, digests in _parts(b, words, 200):
                 yield pa.record_batch({"key": part["key"], "node": pa.array(names.of(digests)), "elements": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))})
 
-    return run
+    return tidied(run)
 
 
 def _pack(element: np.ndarray, own: np.ndarray, position: np.ndarray, heavy: np.ndarray, nodes: np.ndarray, n: np.ndarray) -> bytes:
@@ -168,7 +168,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return element, nodes[own], (n[own] << 32) | position.astype(np.int64), np.unpackbits(heavy, count=rows).astype(bool)
 
 
-def _elements(words: int, names: Names, percent: int, whole: bool, parts: int, limit: int, flush: int = 1_000_000):
+def _elements(words: int, names: Names, percent: int, whole: bool, parts: int, limit: int, flush: int = 400_000):
     """Rows (to, data): the first elements of all texts, or all, packed for each of `parts` ranges of elements.
 
     Equal sets of a task are one node from here on. Of an element that more than `limit` nodes of the
@@ -215,7 +215,7 @@ def _elements(words: int, names: Names, percent: int, whole: bool, parts: int, l
         if rows:
             yield from out()
 
-    return run
+    return tidied(run)
 
 
 def _met(limit: int):
@@ -257,7 +257,7 @@ def _met(limit: int):
         if held:
             yield from met(held)
 
-    return run
+    return tidied(run)
 
 
 def _tiles(percent: int, whole: bool):
@@ -301,7 +301,7 @@ def _tiles(percent: int, whole: bool):
                 column = lambda c, kind: pa.array(np.repeat(np.array([x[c] for x in out], kind), k))
                 yield pa.record_batch({"element": pa.array(np.concatenate([x[0] for x in out])), "plain": column(1, bool), "common": column(2, bool), "node": column(4, np.int64), "n": column(5, np.int32), "pos": pa.array(np.concatenate([x[6] for x in out]).astype(np.int32)), "dense": column(3, bool)})
 
-    return run
+    return tidied(run)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -346,7 +346,7 @@ def _may_link(percent: int):
                     keep[at] = most >= least_overlap(n[at], m[at], percent)
             yield pa.record_batch({"a": b["a"], "b": b["b"]}).filter(pa.array(keep))
 
-    return run
+    return tidied(run)
 
 
 def _within(n, m, pos_n, pos_m, percent: int):
@@ -376,7 +376,7 @@ def _paired(percent: int):
             fit = _within(n[a], n[z], pos[a], pos[z], percent) & (component[a] != component[z]) & (~plain[a] | dense[a] | dense[z]) & ~(visitor[a] & visitor[z])
             yield _pairs(node[a[fit]], node[z[fit]])
 
-    return run
+    return tidied(run)
 
 
 def _linked(percent: int):
@@ -389,7 +389,7 @@ def _linked(percent: int):
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch({"a": b["a"], "b": b["b"]}).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return tidied(run)
 
 
 def _compared(percent: int):
@@ -431,7 +431,7 @@ def _compared(percent: int):
             if found:
                 yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 class _Join:
@@ -459,7 +459,7 @@ class _Join:
 
     def _tiled(self, docs: DataFrame, whole: bool) -> DataFrame:
         """The tiles of `docs`, of which each node offers all its elements or enough first ones; written."""
-        ranges = self.parts * 8
+        ranges = self.parts * 2
         rows = docs.mapInArrow(_elements(self.words, self.names, self.percent, whole, ranges, HEAVY), "to int, data binary")
         met = written(rows.repartition(self.parts, "to").sortWithinPartitions("to").mapInArrow(_met(HEAVY), "element long, node long, at long, heavy boolean"), "elements")
         rows = met.repartition(self.parts, "node").sortWithinPartitions("node", "at").mapInArrow(_tiles(self.percent, whole), "element long, plain boolean, common boolean, node long, n int, pos int, dense boolean")
@@ -487,13 +487,15 @@ class _Join:
         return self.docs.join(own, F.col("key").eqNullSafe(F.col("_first")), "left_semi")
 
     def tiles(self) -> DataFrame:
-        """All tiles: those of nodes that aren't dense, and plain ones of dense nodes and whoever may link with them."""
+        """All tiles: those of nodes that aren't dense, and plain ones of dense nodes and whoever may link with them; written."""
         first = self._tiled(self.docs, False)
         close = written(self._celled(first.where("plain")).groupBy("node").agg(F.max("dense").alias("dense")), "close")
-        tiles = self._celled(first.where("not plain"))
+        tiles, own = self._celled(first.where("not plain")), [first, close]
         if not close.isEmpty():
             again = self._tiled(self.texts(close.select("node")), True)
-            tiles = tiles.unionByName(self._celled(again.drop("dense", "plain").join(close, "node").withColumn("plain", F.lit(True))))
+            tiles, own = tiles.unionByName(self._celled(again.drop("dense", "plain").join(close, "node").withColumn("plain", F.lit(True)))), [*own, again]
+        tiles = written(tiles, "tiles")
+        forget(*own)
         return tiles
 
     def bounded(self, pairs: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -528,7 +530,7 @@ class _Join:
 
     def tiled(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The tiles, and of their nodes the signatures (node, n, bits) and first labels, each node its own component."""
-        tiles = written(self.tiles(), "tiles")
+        tiles = self.tiles()
         own = self.nodes.select("node", F.col("first").alias("_first")).join(tiles.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "_node")
         signatures = self.features.join(own, (F.col("node") == F.col("_node")) & F.col("key").eqNullSafe(F.col("_first"))).select("node", "n", "bits")
         signatures = written(signatures.dropDuplicates(["node"]), "signatures")
@@ -536,7 +538,10 @@ class _Join:
 
     def links(self) -> DataFrame:
         """Every link (a, b) of two different nodes, once: what is compared in full is all that shares a tile."""
-        return self.apart(*self.tiled())
+        tiles, signatures, label = self.tiled()
+        links = self.apart(tiles, signatures, label)
+        forget(tiles, signatures, label)
+        return links
 
     def run(self) -> DataFrame:
         """(node, component) of the nodes that link with another."""
@@ -553,7 +558,9 @@ class _Join:
             pairs = pairs.groupBy("node").agg(F.min("leader").alias("leader")).select(F.col("node").alias("a"), F.col("leader.node").alias("b"))
             new = self.verified(self.bounded(pairs, signatures))
             links, label = links.unionByName(new), self.joined(label, new)
-        return components(written(links.unionByName(self.apart(tiles, signatures, label)), "links"))
+        found = components(written(links.unionByName(self.apart(tiles, signatures, label)), "links"))
+        forget(tiles, signatures, large)
+        return found
 
     def apart(self, tiles: DataFrame, signatures: DataFrame, label: DataFrame) -> DataFrame:
         """The links (a, b) of nodes that share a tile and whose labels differ."""
@@ -581,8 +588,10 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     take part; a component of such rows alone has a null id. Rows that repeat a key are rows of
     their own. An empty table gives no rows; other columns are ignored.
     """
-    join = _Join(df, key, text, words, percent)
-    return _rows(join, join.run(), key).drop("node")
+    with small_batches(df.sparkSession):
+        join = _Join(df, key, text, words, percent)
+        found = join.run()
+    return _rows(join, found, key).drop("node")
 
 
 def jaccard_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -591,8 +600,9 @@ def jaccard_links(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     Every link is found and verified, also those between nodes that others connect already, which
     the join passes over; so the work grows with the number of links between different sets.
     """
-    join = _Join(df, key, text, words, percent)
-    links = written(join.links(), "links")
+    with small_batches(df.sparkSession):
+        join = _Join(df, key, text, words, percent)
+        links = join.links()
     copies = join.features.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
@@ -610,10 +620,12 @@ def _rows(join: _Join, label: DataFrame, key: str) -> DataFrame:
 
 
 def op9_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `op9_jaccard_join`, with the number of other rows that each row links with."""
     return jaccard_links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: null and wordless texts have no shingles and are alone."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mphf
-from .storage import file_system, new_file, parts, put_file, shared_dir, written
+from .storage import file_system, kept, new_file, parts, put_file, shared_dir, tidied, written
 from .words import PIECE, WHITE, groups, mix, utf8
 
 MAGIC, END_ID, PART_KEYS, SLOTS, PACK, SHARD_BYTES = b"LODEIDS1", 2, 20_000, 1 << 19, 4000, 64 << 20
@@ -195,20 +195,11 @@ class Encoder:
             yield i, j, np.insert(ids, lasts, end_id).astype(np.uint32), np.diff(np.concatenate(([0], lasts))) + 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def _write_shard(path: str, tokenizer: str, end_id: int):
     """Writes a partition's texts, in order, as one shard, and yields their places as it goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, rows, total, last, ordinal = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0, None, -1
+        own, shard, rows, total, last, ordinal = kept(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), 0, 0, None, -1
         with new_file(f"{path}/shard-{shard:05}.ids") as out:
             out.write(MAGIC + own.width.to_bytes(8, "little"))
             for b in parts(batches):
@@ -226,7 +217,7 @@ def _write_shard(path: str, tokenizer: str, end_id: int):
                 yield pa.record_batch({"key": b["key"], "shard": pa.array(np.full(b.num_rows, shard, np.int32)), "ordinal": pa.array(ordinals, pa.int64()), "offset": pa.array(np.concatenate(offsets)), "n_ids": pa.array(np.concatenate(lengths))})
             out.write(rows.to_bytes(8, "little") + total.to_bytes(8, "little") + MAGIC)
 
-    return run
+    return tidied(run)
 
 
 def _hash_input(key: np.ndarray, ordinal: np.ndarray) -> np.ndarray:
@@ -336,7 +327,7 @@ def _read_shards(path: str, starts: dict[int, int], with_ids: bool):
             out = {"key": b["key"], "ordinal": b["ordinal"], "start": pa.array(first, pa.int64()), "n_tokens": b["n_ids"], "ids_crc32": pa.array(crc, pa.int64())}
             yield pa.record_batch(out | ({"ids": pa.array(ids, pa.list_(pa.int64()))} if with_ids else {}))
 
-    return run
+    return tidied(run)
 
 
 def read_tokens(keys: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
@@ -372,4 +363,5 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files: null texts give the end id alone, rows without an id come first."""
     return tokenize(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizer())
