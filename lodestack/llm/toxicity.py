@@ -12,8 +12,11 @@ Most tokens carry no feature of the lexicon. A run of g such tokens multiplies t
 2 x 2 matrix to the power g, which has a closed form, so forward-backward is exact at the cost of
 the other tokens alone.
 
-Scale: fit on a bounded sample (`TOXIC_ROWS`, `CLEAN_ROWS` labelled rows by the hash of their key);
-the model has `LEXICON` features at most and is broadcast. Scoring is one pass without a shuffle.
+Scale: fit on a bounded sample (`TOXIC_ROWS`, `CLEAN_ROWS` labelled rows by the hash of their key).
+Of these, the lexicon is the `LEXICON` features of the strongest evidence among the `CANDIDATES` that
+most toxic rows have, and the chain is fit on `WINDOWS` windows, half of them of either label, around
+featured tokens anywhere in the sampled texts, picked by the hash of key and position. Scoring covers
+whole texts and is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidied, written
 from .words import SYMBOLS, hashed, mix
 
 BEGINNINGS = (3, 4, 5)
@@ -215,7 +218,7 @@ def _counts(candidates: np.ndarray | None):
             values, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint64), return_counts=True)
             yield pa.record_batch({"feature": pa.array(values.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return run
+    return tidied(run)
 
 
 def _sparse(lexicon: Lexicon, column: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -233,9 +236,9 @@ def _examples(features: np.ndarray):
         lexicon = Lexicon(features)
         for b in batches:
             rows = _sparse(lexicon, b["text"])
-            yield pa.record_batch({"toxic": b["toxic"], "n": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), "ids": pa.array([r[2].ravel().tolist() for r in rows], pa.list_(pa.int32()))})
+            yield pa.record_batch({"key": b["key"], "toxic": b["toxic"], "n": pa.array([r[0] for r in rows], pa.int64()), "at": pa.array([r[1].tolist() for r in rows], pa.list_(pa.int64())), "ids": pa.array([r[2].ravel().tolist() for r in rows], pa.list_(pa.int32()))})
 
-    return run
+    return tidied(run)
 
 
 def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
@@ -282,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """The field and its logistic, from labelled rows.
 
     At most about `toxic_rows` and `clean_rows` rows of either label are used, by the hash of the
-    key, and of near copies one, else any word of a text with many copies would pass for evidence.
+    key, and half of `WINDOWS` windows of either, by the hash of key and position; of near copies one row, else any word of a text with many copies would pass for evidence.
     Rows without a label or a text, and labels of no document, teach nothing; of several labels of a
     key the largest counts. Without toxic or clean rows every score is the share of toxic rows.
     """
@@ -293,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     most = F.when(F.col("toxic") == 1, toxic_rows / max(1, sizes.get(1, 0))).otherwise(clean_rows / max(1, sizes.get(0, 0)))
     picked = F.broadcast(own.where(place < most))  # some 23,000 rows of two numbers, whatever the input
     rows = written(docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(picked, "key").select("key", "text", "toxic"), "toxicity-sample")
-    apart = distinct_rows([(r["key"], r["toxic"], r["family"]) for r in rows.mapInArrow(_families, "key long, toxic int, family array<long>").collect()])
+    apart = distinct_rows([(r["key"], r["toxic"], r["family"]) for r in rows.mapInArrow(tidied(_families), "key long, toxic int, family array<long>").collect()])
     rows = rows.join(F.broadcast(spark.createDataFrame([(k,) for k in apart], "key long")), "key", "left_semi")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     empty = np.zeros(0, np.uint64)
@@ -310,17 +313,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     enough = 2 * np.log(max(1, len(names))) + 2  # among so many features, chance passes this for less than one
     pure = found["n"].to_numpy(float) >= PURITY * (found["n"].to_numpy(float) + clean)
     names = np.sort(names[best[(strength[best] >= enough) & pure[best]]])
-    examples = [(int(r["toxic"]), (int(r["n"]), np.array(r["at"], np.int64), np.array(r["ids"], np.int32).reshape(-1, len(BEGINNINGS) + 1))) for r in rows.mapInArrow(_examples(names), "toxic int, n long, at array<long>, ids array<int>").collect()]
+    found = rows.mapInArrow(_examples(names), "key long, toxic int, n long, at array<long>, ids array<int>").orderBy("key", "n").collect()
+    examples = [(int(r["toxic"]), (int(r["n"]), np.array(r["at"], np.int64), np.array(r["ids"], np.int32).reshape(-1, len(BEGINNINGS) + 1))) for r in found]
     windows, tags = [], []
-    for label, (size, at, ids) in examples:
-        spots = at.tolist()[:32] or [size // 2]
-        for p in spots:
-            if len(windows) < WINDOWS:
-                w = np.full((2 * AROUND + 1, len(BEGINNINGS) + 1), -1, np.int32)
-                near = np.abs(at - p) <= AROUND
-                w[at[near] - p + AROUND] = ids[near]
-                windows.append(w)
-                tags.append(((w >= 0).any(1) & (label == 1)).astype(np.int64))
+    for label in (1, 0):
+        spots = [(mix(np.array([r["key"] * 1_000_003 + p], np.int64).view(np.uint64))[0], k, p) for k, r in enumerate(found) if r["toxic"] == label for p in r["at"] or [r["n"] // 2]]
+        for _, k, p in sorted(spots)[: WINDOWS // 2]:
+            _, at, ids = examples[k][1]
+            w = np.full((2 * AROUND + 1, len(BEGINNINGS) + 1), -1, np.int32)
+            near = np.abs(at - p) <= AROUND
+            w[at[near] - p + AROUND] = ids[near]
+            windows.append(w)
+            tags.append(((w >= 0).any(1) & (label == 1)).astype(np.int64))
     field = fit_chain(names, np.stack(windows), np.stack(tags))
     fit_logistic(field, field.marginals([x for _, x in examples]), np.array([y for y, _ in examples], float))
     return field
@@ -351,7 +355,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", key: str = "doc_id"
                 yield pa.record_batch(columns)
 
     schema = "key long, score double" + (", spans array<struct<start:int,end:int,marginal:double>>" if spans else "")
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), schema).withColumnRenamed("key", key)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -364,4 +368,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document: null and empty texts are scored as texts of no toxic token."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
