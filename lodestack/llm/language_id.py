@@ -5,13 +5,15 @@ every substring of that text. A document is parsed, once for each language, into
 that the language's text contains; the language that needs the fewest pieces for the document's
 letters wins. A parse never looks back, so only transitions are used in prediction.
 
-Texts are normalised to lower-case letters with one space between words. They are parsed in blocks
+Texts are normalised to lower-case letters with one space between words; whatever is no letter, a
+combining mark too, ends a word, in training and in prediction alike. They are parsed in blocks
 of `BLOCK` characters, each begun anew, which adds at most one piece a block for every language
 alike; blocks of many documents advance together, one character at a time, in numpy.
 
 Scale: the model is fit on a bounded sample, `SNIPPETS` snippets of `SNIPPET` characters for each
 language, so the texts that are broadcast have a size bound of 32 KB a language; automata are built
-on executors, once for each Python worker. Prediction is a single pass without a shuffle.
+on executors, once for each Python worker, as hash tables of their transitions, at most some 100,000
+and 4 MB a language, whatever its characters. Prediction is a single pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import kept, tidied
+
 BLOCK, SNIPPETS, SNIPPET, LANES, BROADCAST_ROWS = 256, 128, 256, 4096, 100_000
 HOLD, FOLDS = 0, 5
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -36,7 +40,10 @@ def normal(text: str | None) -> str:
 
 
 class SuffixAutomaton:
-    """All substrings of a sequence of symbols 1..: `next[state, symbol]` is a state, or 0 where there is none; 1 is the root."""
+    """All substrings of a sequence of symbols 1..: `after(states, symbols)` are states, or 0 where there is none; 1 is the root.
+
+    Transitions are a table of open addressing, at most a quarter full.
+    """
 
     def __init__(self, symbols: list[int], alphabet: int):
         step: list[dict[int, int]] = [{}, {}]
@@ -73,10 +80,39 @@ class SuffixAutomaton:
             link[to] = link[new] = copy
             if length[new] == length[copy]:
                 last = copy
-        self.next = np.zeros((len(step), alphabet), np.int32)
-        for s, own in enumerate(step):
-            for c, t in own.items():
-                self.next[s, c] = t
+        self.alphabet, self.root = alphabet, np.zeros(alphabet, np.int64)
+        for c, t in step[1].items():
+            self.root[c] = t
+        keys = np.array([s * alphabet + c for s, own in enumerate(step) for c in own], np.int64)
+        values = np.array([t for own in step for t in own.values()], np.int32)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # those whose slot is free take it, one each; the others go on to the next
+            free = self.keys[at[left]] == -1
+            slots, first = np.unique(at[left[free]], return_index=True)
+            own = left[free][first]
+            self.keys[slots], self.values[slots] = keys[own], values[own]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def after(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        keys = states * self.alphabet + symbols
+        at = self._slot(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], 0)
+        left = np.flatnonzero((found != keys) & (found != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
 
 
 class Model:
@@ -93,7 +129,7 @@ class Model:
             seq: list[int] = []
             for t in texts[lang]:
                 seq += [0, *self.symbols(f" {normal(t)} ").tolist()]
-            self.automata.append(SuffixAutomaton(seq, len(used) + 1).next)
+            self.automata.append(SuffixAutomaton(seq, len(used) + 1))
 
     def symbols(self, text: str) -> np.ndarray:
         """Symbols of a normalised text; characters that no training text has are 0."""
@@ -110,7 +146,7 @@ class Model:
             if n:
                 padded = np.zeros(n * BLOCK, np.uint16)
                 padded[: len(s)] = s
-                padded[len(s) :] = len(self.automata[0][0]) if self.automata else 0
+                padded[len(s) :] = self.automata[0].alphabet if self.automata else 0
                 rows.append(padded.reshape(n, BLOCK))
                 owners += [k] * n
             if len(owners) >= LANES or (k == len(texts) - 1 and rows):
@@ -119,24 +155,23 @@ class Model:
         return out
 
     def _parse(self, blocks: np.ndarray, owners: np.ndarray, out: np.ndarray) -> None:
-        end = self.automata[0].shape[1]
+        end = self.automata[0].alphabet
         lengths = (blocks != end).sum(1)
         order = np.argsort(-lengths, kind="stable")
         columns = np.ascontiguousarray(blocks[order].T).astype(np.int64)
         owners, alive = owners[order], np.searchsorted(-lengths[order], -np.arange(BLOCK), "left")
         for k, automaton in enumerate(self.automata):
-            flat, width, root = automaton.ravel(), automaton.shape[1], automaton[1]
             state, count = np.ones(len(blocks), np.int64), np.ones(len(blocks), np.int64)
             for c in range(BLOCK):
                 n = int(alive[c])
                 if not n:
                     break
                 symbol = columns[c, :n]
-                to = flat[state[:n] * width + symbol]
+                to = automaton.after(state[:n], symbol)
                 broken = np.flatnonzero(to == 0)
                 if len(broken):
                     count[broken] += state[broken] != 1
-                    again = root[symbol[broken]]
+                    again = automaton.root[symbol[broken]]
                     lost = again == 0  # a character that the language doesn't have is a piece of its own
                     count[broken[lost]] += 1
                     again[lost] = 1
@@ -145,11 +180,11 @@ class Model:
             np.add.at(out[:, k], owners, count - (state == 1))
 
 
-_models: dict[str, Model] = {}
-
-
 def sample(docs: DataFrame, text: str, lang: str, key: str, snippets: int = SNIPPETS) -> dict[str, list[str]]:
-    """Snippets of labelled rows for each language: about `snippets` rows by the hash of their key, one snippet a row at a place that the hash picks."""
+    """Snippets of labelled rows for each language: about `snippets` rows by the hash of their key, one snippet a row at a place that the hash picks.
+
+    What reaches the driver is bounded by the number of distinct labels, of which each is a language.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("snippet")).alias("h"))
     share = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.broadcast(share) if share.count() <= BROADCAST_ROWS else share  # a row a language
@@ -175,10 +210,7 @@ def predict(docs: DataFrame, model: dict[str, list[str]], text: str = "text", ke
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _models:
-            _models.clear()
-            _models[name] = Model(shared.value)
-        own = _models[name]
+        own = kept(name, lambda: Model(shared.value))
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
@@ -193,7 +225,7 @@ def predict(docs: DataFrame, model: dict[str, list[str]], text: str = "text", ke
                             langs[k], scores[k] = own.languages[best[k]], float(1 - two[0] / two[1]) if len(two) > 1 else 1.0
                 yield pa.record_batch({"key": part["key"], "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, lang_pred string, score double").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidied(run), "key long, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def held_out(key: str = "doc_id"):
@@ -211,4 +243,5 @@ def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document: null texts and those without a letter are `und`, rows without a language teach nothing."""
     return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))

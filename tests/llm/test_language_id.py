@@ -31,15 +31,28 @@ def test_pieces_against_brute_force():
 
 def test_automaton_spells_every_substring():
     s = [1, 2, 1, 1, 2, 3, 1, 2, 1, 1]
-    a = g.SuffixAutomaton(s, 4).next
+    a = g.SuffixAutomaton(s, 4)
     subs = {tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
     for x in [*subs, (3, 3), (2, 2), (1, 1, 1)]:
         state = 1
         for c in x:
-            state = a[state, c] if state else 0
+            state = int(a.after(np.array([state]), np.array([c]))[0]) if state else 0
         assert bool(state) == (x in subs)
 
 
+def test_many_characters_take_no_more_room():
+    """An alphabet of 20,000 characters: the table follows the transitions alone."""
+    r = np.random.default_rng(4)
+    s = r.integers(1, 20_000, 30_000).tolist()
+    a = g.SuffixAutomaton(s, 20_000)
+    assert a.keys.nbytes + a.values.nbytes < 8 << 20
+    for at in r.integers(0, len(s) - 6, 50):
+        state = 1
+        for c in s[at : at + 6]:
+            state = int(a.after(np.array([state]), np.array([c]))[0])
+        assert state
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{path}/documents.parquet")
