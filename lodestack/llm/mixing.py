@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every document may be served twice (two epochs of its source). Within a source, copies stand in a
-shuffled order, the order of the MD5 of their id, epoch by epoch; a copy's virtual finish time is
+shuffled order, the order of the MD5 of their id and text, epoch by epoch; a copy's virtual finish time is
 the source's words up to and including it, divided by the source's target, and each of its words
 has a finish time likewise. The mix is the words of all copies in the order of finish times,
 truncated where running sums over that one order reach the budget, the whole words of all targets.
@@ -10,8 +10,8 @@ words served so far. As no target exceeds two epochs, no word beyond virtual tim
 words that tie are all on one side of the cut.
 
 Scale: running sums never put a source, or the whole order, into one task. The first hex digits of
-the shuffle key, or the finish time itself, cut each order into bins of nearly equal size; windows
-run within bins, and the sums of whole bins (sources x bins rows) carry over.
+the shuffle key, or the finish time itself, cut each order into bins of nearly equal size, more of
+them where there are more rows; rows that share an id are spread by their texts. Windows run within bins, and the sums of whole bins (sources x bins rows) carry over.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
-WEIGHTS, SHARE, EPOCHS, BINS = (3, 1, 2), 1.5, 2, 1024
+WEIGHTS, SHARE, EPOCHS, BINS, BIN_ROWS = (3, 1, 2), 1.5, 2, 1024, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(df: DataFrame, key: str, text: str, source: str, order: str | None = None) -> DataFrame:
-    """(key, source, size, shuffle): size counts the text's words; a null text has none. `order` is shuffled by, the key by default."""
+    """(key, source, size, shuffle): size counts the text's words; a null text has none. `order` is shuffled by, with the text; the key by default."""
     return df.select(
         F.col(key).alias("key"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(order or key).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
+        F.md5(F.concat(F.coalesce(F.col(order or key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary")).alias("shuffle"),
     )
 
 
@@ -56,6 +56,7 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
 def placed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, bins: int = BINS, order: str | None = None) -> DataFrame:
     """One row per document: key, source, shuffle, size, source_size, target, cum (its source's words up to and with it, in one epoch)."""
     rows = written(sizes(df, key, text, source, order), "mix-sizes")
+    bins = max(bins, -(-rows.count() // BIN_ROWS))
     first = F.conv(F.substring("shuffle", 1, 8), 16, 10).cast("long")
     rows = rows.withColumns({"of": F.struct(F.col("source").isNull().alias("no"), F.coalesce("source", F.lit("")).alias("name")), "bin": F.floor(first * bins / F.lit(1 << 32)).cast("int")})
     sums = rows.groupBy("of", "bin").agg(F.sum("size").alias("words"))
@@ -144,11 +145,12 @@ def mix_report(df: DataFrame, key: str = "doc_id", text: str = "text", source: s
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document: null texts have no words, a null source is a source of its own, repeated rows are mixed one by one."""
     return mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR) AS shuffle FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS shuffle FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 2.0::DOUBLE * source_size AS cap, ([3, 1, 2])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
 b AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(w) OVER () AS all_w,
