@@ -182,16 +182,29 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
     )
 
 
-STATE = "bucket int, filter binary, digests array<binary>, keys array<long>, copies array<long>"
+STATE = "bucket int, buckets int, filter binary, digests array<binary>, keys array<long>, copies array<long>"
 
 
-def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
-    """The index as a written table, a row a bucket: its filter and its content."""
-    return update_index(None, df, None, key, text, buckets)
+def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The index as a written table, a row a bucket of about `bucket_rows` digests at most: its filter and its content."""
+    return update_index(None, df, None, key, text, bucket_rows)
 
 
-def update_index(index: DataFrame | None, inserted: DataFrame | None, deleted: DataFrame | None, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
-    """`index` after insertions, then deletions, as a new written table. Deleting what isn't live does nothing."""
+def _buckets(index: DataFrame | None) -> int:
+    return (index.agg(F.max("buckets")).first()[0] or 0) if index is not None else 0
+
+
+def update_index(index: DataFrame | None, inserted: DataFrame | None, deleted: DataFrame | None, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """`index` after insertions, then deletions, as a new written table. Deleting what isn't live does nothing.
+
+    Once its buckets would hold more than twice `bucket_rows` on average, the index is dealt anew to
+    more of them, from the digests that it stores.
+    """
+    live = index.agg(F.sum(F.size("digests"))).first()[0] or 0 if index is not None else 0
+    need = max(1, -(-(live + (inserted.count() if inserted is not None else 0)) // bucket_rows))
+    buckets = _buckets(index)
+    again = 0 < 2 * buckets < need
+    buckets = need if again or not buckets else buckets
 
     def changed(at, state: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         own = Bucket()
@@ -202,28 +215,38 @@ def update_index(index: DataFrame | None, inserted: DataFrame | None, deleted: D
             k = None if pd.isna(r.key) else int(r.key)
             own.remove(bytes(r.digest), int(r.copies)) if r.deleted else own.add(bytes(r.digest), k, int(r.copies))
         live = own.content
-        return pd.DataFrame({"bucket": [int(at[0])], "filter": [own.filter.table.tobytes()], "digests": [list(live)], "keys": [[x[0] for x in live.values()]], "copies": [[x[1] for x in live.values()]]})
+        return pd.DataFrame({"bucket": [int(at[0])], "buckets": [buckets], "filter": [own.filter.table.tobytes()], "digests": [list(live)], "keys": [[x[0] for x in live.values()]], "copies": [[x[1] for x in live.values()]]})
 
     sides = [digests(d, key, text).mapInArrow(_merged, "digest binary, key long, copies long").select("*", _bucket(buckets), F.lit(flag).alias("deleted")) for d, flag in ((inserted, False), (deleted, True)) if d is not None]
-    change = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
-    state = index if index is not None else change.sparkSession.createDataFrame([], STATE)
+    if again:
+        old = index.select(F.explode(F.arrays_zip("digests", "keys", "copies")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.keys").alias("key"), F.col("x.copies").alias("copies"))
+        sides.append(old.select("*", _bucket(buckets), F.lit(False).alias("deleted")))
+    if not sides:
+        return index
+    change = sides[0]
+    for side in sides[1:]:
+        change = change.unionByName(side)
+    state = index if index is not None and not again else change.sparkSession.createDataFrame([], STATE)
     return written(state.groupBy("bucket").cogroup(change.groupBy("bucket")).applyInPandas(changed, STATE), "cuckoo")
 
 
-def probe(index: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
-    """(key, live): whether the index has each row's text."""
+def probe(index: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, live): whether the index has each row's text. Equal texts are asked once, so a text of very many rows is no bucket's burden."""
 
     def asked(at, state: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         own = Bucket()
         for r in state.itertuples():
             own.filter, own.content = CuckooFilter(table=r.filter), dict.fromkeys(map(bytes, r.digests))
-        return pd.DataFrame({"key": rows["key"], "live": [own.has(bytes(d)) for d in rows["digest"]]})
+        return pd.DataFrame({"digest": rows["digest"], "live": [own.has(bytes(d)) for d in rows["digest"]]})
 
-    rows = digests(df, key, text).select("*", _bucket(buckets))
-    return index.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInPandas(asked, "key long, live boolean").withColumnRenamed("key", key)
+    rows = digests(df, key, text)
+    once = rows.select("digest").distinct().select("*", _bucket(max(1, _buckets(index))))
+    found = index.groupBy("bucket").cogroup(once.groupBy("bucket")).applyInPandas(asked, "digest binary, live boolean")
+    return rows.join(found, "digest").select(F.col("key").alias(key), "live")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document: null texts count as empty ones, rows without an id never stay where one with an id does."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -68,6 +68,7 @@ def write_shards(df: DataFrame, path: str, *keys: str, shards: list[str], slots:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by its id; rows without an id have one too, as `place` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
     return place(docs, "doc_id", shards=[f"shard-{k:02}" for k in range(SHARDS)]).select("doc_id", "slot", "shard")
 

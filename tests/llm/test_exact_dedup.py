@@ -41,9 +41,20 @@ def test_filter_resizes_and_deletes():
 
 def test_index_updates(spark):
     df = lambda *t: spark.createDataFrame([(k, x) for k, x in enumerate(t)], "doc_id long, text string")
-    index = e.build_index(df("a", "b", "B", None), buckets=4)
-    live = lambda i: {r["doc_id"]: r["live"] for r in e.probe(i, df("A", "b", "", "zz"), buckets=4).collect()}
+    index = e.build_index(df("a", "b", "B", None), bucket_rows=1)
+    live = lambda i: {r["doc_id"]: r["live"] for r in e.probe(i, df("A", "b", "", "zz")).collect()}
     assert live(index) == {0: True, 1: True, 2: True, 3: False}
-    index = e.update_index(index, df("zz"), df("a", "b"), buckets=4)
+    index = e.update_index(index, df("zz"), df("a", "b"), bucket_rows=1)
     assert live(index) == {0: False, 1: True, 2: True, 3: True}
-    assert live(e.update_index(index, None, df("b", "never"), buckets=4))[1] is False
+    assert live(e.update_index(index, None, df("b", "never"), bucket_rows=1))[1] is False
+
+
+def test_an_index_grows_its_buckets(spark):
+    rows = lambda a, z: spark.range(a, z).selectExpr("id as doc_id", "cast(id as string) as text")
+    index = e.build_index(rows(0, 100), bucket_rows=50)
+    assert index.count() == 2
+    index = e.update_index(index, rows(100, 2000), rows(0, 10), bucket_rows=50)
+    assert {r["buckets"] for r in index.collect()} == {40} and max(len(r["digests"]) for r in index.collect()) < 110
+    live = {r["doc_id"]: r["live"] for r in e.probe(index, rows(0, 2100)).collect()}
+    assert len(live) == 2100 and all(v == (10 <= k < 2000) for k, v in live.items())
+    assert e.probe(e.build_index(rows(0, 0)), rows(0, 3)).where("live").count() == 0
