@@ -97,7 +97,8 @@ def tidied(run):
     def tidy(batches):
         if not _owner:  # a new worker
             pa.set_memory_pool(pa.system_memory_pool())
-            _libc("mallopt", -3, 4 << 20)  # M_MMAP_THRESHOLD: what is larger goes back at once
+            _libc("mallopt", -3, 4 << 20)  # M_MMAP_THRESHOLD: what is larger goes back at once,
+            _libc("mallopt", -1, 64 << 20)  # M_TRIM_THRESHOLD: and what is smaller, at the end or beyond so much
         if _owner[:] != [module]:
             _kept.clear()
             _owner[:] = [module]
