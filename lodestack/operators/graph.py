@@ -1,7 +1,8 @@
 """Import graphs as edge tables (src, dst): neighbours, closures and cycles.
 
-Closures and cycles grow by one edge a round as joins on the node; every round is cut from its
-lineage and keeps only what is new, so the search ends when nothing is.
+Closures of given roots and cycles grow by one edge a round as joins on the node; closures of all nodes
+double their depth a round. Every round is cut from its lineage and keeps only what is new, so the
+search ends when nothing is.
 """
 
 from __future__ import annotations
@@ -41,6 +42,27 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> Dat
     return seen.where("depth > 0")
 
 
+def closures(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """`closure` of every node that leads anywhere, in as many rounds as the logarithm of the depth.
+
+    What is between k and 2k deep lies up to k beyond a node exactly k deep, whose own closure to k is there already; so
+    each round reads what was found before once, and a graph of depth 40 takes six. Nodes that lead nowhere, which
+    many may share, are marked at the start and never joined on.
+    """
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    ends = edges.select("dst").distinct().join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
+    found = cut(edges.join(ends.withColumn("end", F.lit(True)), "dst", "left").select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).alias("depth"), F.col("end").isNull().alias("leads")))
+    last, k = found, 1
+    while (depth is None or k < depth) and not (edge := last.where(F.col("leads") & (F.col("depth") == k))).isEmpty():
+        near = found.select(F.col("root").alias("via"), F.col("node").alias("to"), F.col("depth").alias("more"), "leads")
+        steps = edge.select("root", F.col("node").alias("via")).join(near, "via").where("root <> to")
+        new = steps.groupBy("root", F.col("to").alias("node")).agg((F.min("more") + k).alias("depth"), F.first("leads").alias("leads"))
+        last, k = cut(new.join(found, ["root", "node"], "left_anti")), 2 * k
+        found = found.unionByName(last)
+    found = found.select("root", "node", "depth")
+    return found if depth is None else found.where(F.col("depth") <= depth)
+
+
 def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """cycle: arrays of distinct nodes that lead back to the first, which is the smallest; one for each set of nodes.
 

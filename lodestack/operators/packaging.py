@@ -132,10 +132,10 @@ def bump_version(version: Column | str, part: str = "patch") -> Column:
 
 def all_requirements(files: DataFrame) -> DataFrame:
     """(root, path, position, dependency columns): the requirements of each file and of all files that it includes, at whatever depth."""
-    from .graph import closure
+    from .graph import closures
 
     roots = files.select(F.col("path").alias("root"))
-    reach = closure(includes(files), roots).select("root", F.col("node").alias("path")).unionByName(roots.withColumn("path", F.col("root")))
+    reach = closures(includes(files)).select("root", F.col("node").alias("path")).unionByName(roots.withColumn("path", F.col("root")))
     return reach.join(requirements(files), "path").select("root", "path", "position", "name", "version", "extras", "marker", "url", "editable")
 
 

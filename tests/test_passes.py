@@ -1,11 +1,13 @@
 """How often an analysis parses its files: once, whatever the number of its findings or edits."""
 
 import ast
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestack import edit_queries
-from lodestack.operators import analysis, docstrings, metrics
+from lodestack import code_queries, edit_queries
+from lodestack.operators import analysis, docstrings, graph, metrics
 from lodestack.operators.edits import check, edit_all, rename_class
 from lodestack.operators.facts import Facts, facts_of
 from lodestack.plans import reports
@@ -66,3 +68,19 @@ def test_a_changed_part_parses_as_the_whole_does(new):
             return str(e)
 
     assert said(lambda: check("x = 1\n\n\nclass A:\n    b = 2\n", new)) == said(lambda: ast.parse(new))
+
+
+def test_closures_of_all_nodes_double_their_depth_each_round(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: cuts.append(df) or cut(df))
+    code_queries.import_closure(spark, "/root/testdata/sf0.001")
+    assert len(cuts) <= 8
+
+
+@pytest.mark.parametrize("nodes, links, depth", [(30, 60, None), (30, 40, None), (40, 60, 3), (12, 50, None)])
+def test_closures_equal_the_closure_of_each_node(spark, nodes, links, depth):
+    pick = random.Random(links)
+    pairs = [(f"n{pick.randrange(nodes)}", f"n{pick.randrange(nodes)}") for _ in range(links)] + [(f"c{k}", f"c{k + 1}") for k in range(11)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    want = graph.closure(edges, edges.select(F.col("src").alias("root")), depth)
+    assert sorted(graph.closures(edges, depth).collect()) == sorted(want.collect())
