@@ -25,6 +25,12 @@ def modules(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("module")).union(edges.select("dst")).distinct()
 
 
+def neighbours(edges: DataFrame, module: str) -> DataFrame:
+    """(side, module): `dependencies` and `dependents` from one pass over the edges."""
+    sides = [F.when(F.col(own) == module, F.struct(F.lit(side).alias("side"), F.col(other).alias("module"))) for side, own, other in (("dependency", "src", "dst"), ("dependent", "dst", "src"))]
+    return edges.select(F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())).alias("x")).select("x.*").distinct()
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("dst"))
 
