@@ -22,7 +22,7 @@ def dependents(edges: DataFrame, module: str) -> DataFrame:
 
 
 def modules(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("module")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("module")).distinct()
 
 
 def neighbours(edges: DataFrame, module: str) -> DataFrame:

@@ -86,8 +86,8 @@ def test_closures_equal_the_closure_of_each_node(spark, nodes, links, depth):
     assert sorted(graph.closures(edges, depth).collect()) == sorted(want.collect())
 
 
-def test_neighbours_read_the_edges_once(spark, files):
+def test_neighbours_and_modules_read_the_edges_once(spark, files):
     edges = analysis.import_edges(Facts(files), "module").select("src", "dst").distinct()
-    assert nodes(graph.neighbours(edges, "os"), "MapIn") == 1
+    assert nodes(graph.neighbours(edges, "os"), "MapIn") == nodes(graph.modules(edges), "MapIn") == 1
     loops = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", "d")], "src string, dst string")
     assert sorted(graph.neighbours(loops, "a").collect()) == [("dependency", "a"), ("dependency", "b"), ("dependent", "a"), ("dependent", "b")]
