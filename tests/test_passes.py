@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestack import code_queries, edit_queries
 from lodestack.operators import analysis, docstrings, graph, metrics
+from lodestack.operators import facts as facts_module
 from lodestack.operators.edits import check, edit_all, rename_class
 from lodestack.operators.facts import Facts, facts_of
 from lodestack.plans import reports
@@ -91,3 +92,16 @@ def test_neighbours_and_modules_read_the_edges_once(spark, files):
     assert nodes(graph.neighbours(edges, "os"), "MapIn") == nodes(graph.modules(edges), "MapIn") == 1
     loops = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("c", "d")], "src string, dst string")
     assert sorted(graph.neighbours(loops, "a").collect()) == [("dependency", "a"), ("dependency", "b"), ("dependent", "a"), ("dependent", "b")]
+
+
+def test_dead_code_reads_what_was_written_three_times(files):
+    assert nodes(analysis.dead_code(Facts(files)), "LogicalRDD") == 3
+
+
+def test_reports_write_no_contents(files, monkeypatch):
+    kept = []
+    monkeypatch.setattr(facts_module, "cut", lambda df, cut=facts_module.cut: kept.append(df.columns) or cut(df))
+    rows = {(r["section"], r["key"]): r["value"] for r in reports.full_report(Facts(files)).collect()}
+    assert len(kept) == 1 and "content" not in kept[0]
+    assert [rows["summary", k] for k in ("files", "total_lines", "code_lines", "class_count", "function_count", "method_count")] == [3, 8, 7, 1, 1, 1]
+    assert rows["findings", "UNUSED_CLASS"] == 1 and ("findings", "UNUSED_FUNCTION") not in rows
