@@ -105,3 +105,19 @@ def test_reports_write_no_contents(files, monkeypatch):
     assert len(kept) == 1 and "content" not in kept[0]
     assert [rows["summary", k] for k in ("files", "total_lines", "code_lines", "class_count", "function_count", "method_count")] == [3, 8, 7, 1, 1, 1]
     assert rows["findings", "UNUSED_CLASS"] == 1 and ("findings", "UNUSED_FUNCTION") not in rows
+
+
+def test_repetition_groups_and_joins_all_kinds_at_once(files):
+    assert nodes(analysis.repetition_issues(Facts(files)), "Join Inner") == 1
+
+
+def test_hashes_of_fragments_take_no_second_parse(monkeypatch):
+    text = "def f(a, *, b: int = 2):\n    'Doc.'\n    x = g(a.size + b, key=f'{a!r:>{b}} y')\n    if x:\n        x = -x\n        return None\n    return print(x)\n"
+    parsed = []
+    with monkeypatch.context() as m:
+        m.setattr(facts_module.ast, "parse", lambda t, parse=ast.parse: parsed.append(t) or parse(t))
+        whole = facts_of(text)
+    assert len(parsed) == 1
+    renamed = facts_of(text.replace("a", "left").replace("b:", "c:").replace("+ b", "+ c").replace("{b}", "{c}").replace("size", "own"))
+    assert {f["norm_hash"] for f in whole["fragments"]} == {f["norm_hash"] for f in renamed["fragments"]} and whole["defs"][0]["body_hash"] == renamed["defs"][0]["body_hash"]
+    assert facts_module.norm_hash(ast.parse("x = len(y)").body) != facts_module.norm_hash(ast.parse("x = z(y)").body)
