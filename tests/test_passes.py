@@ -121,3 +121,23 @@ def test_hashes_of_fragments_take_no_second_parse(monkeypatch):
     renamed = facts_of(text.replace("a", "left").replace("b:", "c:").replace("+ b", "+ c").replace("{b}", "{c}").replace("size", "own"))
     assert {f["norm_hash"] for f in whole["fragments"]} == {f["norm_hash"] for f in renamed["fragments"]} and whole["defs"][0]["body_hash"] == renamed["defs"][0]["body_hash"]
     assert facts_module.norm_hash(ast.parse("x = len(y)").body) != facts_module.norm_hash(ast.parse("x = z(y)").body)
+
+
+def test_statements_of_imports_take_no_unparser(monkeypatch):
+    text = "import a, b.c as d\nfrom . import e\nfrom ..f import g as h, i\nfrom j.k import *\ndef m():\n    import n as o\n"
+    want = [ast.unparse(n) for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Import, ast.ImportFrom))]
+    with monkeypatch.context() as m:
+        m.setattr(facts_module.ast, "unparse", lambda node: 1 / 0)
+        got = facts_of(text, False, ("imports",))["imports"]
+    assert sorted({i["statement"] for i in got}) == sorted(want)
+
+
+def test_heads_and_imports_leave_statements_without_a_body_unread(monkeypatch):
+    text = "if a:\n    import b\n    c = d = 1\nelse:\n    e()\ndef f():\n    g = lambda: 1\n    h(g)\n    return g\nfor i in j:\n    class K: pass\nmatch l:\n    case 1:\n        import m\n"
+    seen = []
+    with monkeypatch.context() as p:
+        p.setattr(facts_module, "_nested", lambda kind, nested=facts_module._nested: seen.append(kind) or nested(kind))
+        p.setattr(facts_module, "_NESTED", {})
+        got = facts_of(text, False, ("defs", "imports", "assigned"))
+    assert [d["full_name"] for d in got["defs"]] == ["f", "K"] and [i["module"] for i in got["imports"]] == ["b", "m"] and [v["name"] for v in got["assigned"]] == ["c", "d"]
+    assert not {ast.Expr, ast.Return} & set(seen)
