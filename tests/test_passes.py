@@ -141,3 +141,9 @@ def test_heads_and_imports_leave_statements_without_a_body_unread(monkeypatch):
         got = facts_of(text, False, ("defs", "imports", "assigned"))
     assert [d["full_name"] for d in got["defs"]] == ["f", "K"] and [i["module"] for i in got["imports"]] == ["b", "m"] and [v["name"] for v in got["assigned"]] == ["c", "d"]
     assert not {ast.Expr, ast.Return} & set(seen)
+
+
+def test_docstrings_come_from_the_parse_of_the_files(files):
+    assert nodes(docstrings.parsed(Facts(files)), "MapIn") == nodes(docstrings.outdated(Facts(files)), "MapIn") == 1
+    kept = Facts(files).once("defs")
+    assert docstrings.outdated(kept).collect() == docstrings.outdated(Facts(files)).collect() and docstrings.parsed(kept).count() == 0
